@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from . import chat, mixing, quality, url_filter
+from .common import literal, table
 from .packing import pack
 from .simhash import near_duplicates
 from .token_counts import count_tokens
@@ -14,13 +15,31 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), distance=4, size=4)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.RULES)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 1024)
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql(f"select cast(-7 as bigint) as conv_id, turn, role, {literal(chat.PROBE)} as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
+    return chat.digests(rows.unionByName(probe))
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2048, 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op5_token_counts, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_url_filter, op4_quality_rules, op5_token_counts, op6_chat_format, op7_source_mix, op10_best_fit_packing)}
+ORACLES: dict[str, str] = {"op3_url_filter": url_filter.SQL, "op6_chat_format": chat.SQL, "op7_source_mix": mixing.SQL}
