@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality, url_filter
+from . import chat, mixing, quality, topk, url_filter
 from .common import literal, table
 from .packing import pack
 from .simhash import near_duplicates
@@ -37,9 +37,13 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256.0)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2048, 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_url_filter, op4_quality_rules, op5_token_counts, op6_chat_format, op7_source_mix, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {"op3_url_filter": url_filter.SQL, "op6_chat_format": chat.SQL, "op7_source_mix": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_url_filter, op4_quality_rules, op5_token_counts, op6_chat_format, op7_source_mix, op9_top_k, op10_best_fit_packing)}
+ORACLES: dict[str, str] = {"op3_url_filter": url_filter.SQL, "op6_chat_format": chat.SQL, "op7_source_mix": mixing.SQL, "op9_top_k": topk.brute_sql()}
