@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, mixing, quality, topk, url_filter
 from .common import literal, table
+from .line_dedup import dedup_lines
 from .packing import pack
 from .simhash import near_duplicates
 from .token_counts import count_tokens
@@ -37,6 +38,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"), min_words=50)
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256.0)
 
@@ -45,5 +50,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2048, 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_url_filter, op4_quality_rules, op5_token_counts, op6_chat_format, op7_source_mix, op9_top_k, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_url_filter, op4_quality_rules, op5_token_counts, op6_chat_format, op7_source_mix, op8_line_dedup, op9_top_k, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {"op3_url_filter": url_filter.SQL, "op6_chat_format": chat.SQL, "op7_source_mix": mixing.SQL, "op9_top_k": topk.brute_sql()}
