@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality, topk, url_filter
+from . import chat, mixing, quality, topk, toxicity, url_filter
 from .common import literal, table
 from .line_dedup import dedup_lines
 from .packing import pack
@@ -16,6 +16,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), distance=4, size=4)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.RULES)
 
@@ -50,5 +55,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2048, 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_url_filter, op4_quality_rules, op5_token_counts, op6_chat_format, op7_source_mix, op8_line_dedup, op9_top_k, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_url_filter, op4_quality_rules, op5_token_counts, op6_chat_format, op7_source_mix, op8_line_dedup, op9_top_k, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {"op3_url_filter": url_filter.SQL, "op6_chat_format": chat.SQL, "op7_source_mix": mixing.SQL, "op9_top_k": topk.brute_sql()}
