@@ -209,8 +209,8 @@ class Store(Dataset):
     def write_matrix(self, slot: str, value: Any) -> None:
         """Replaces X, raw/X, or KIND/KEY of layers, obsm, obsp, varm, varp and raw/varm, after the alignment checks."""
         kind, _, key = slot.rpartition("/")
-        if key and kind:
-            storage_key(key) if slot != "raw/X" else None
+        if kind and slot != "raw/X":
+            storage_key(key)
         if kind not in ("", "raw", "layers", "obsm", "obsp", "varm", "varp", "raw/varm") or (not kind and slot != "X") or (kind == "raw" and key != "X"):
             raise ValueError(f"{slot!r} is not a matrix slot")
         var_like = kind in ("varm", "varp", "raw/varm")
