@@ -11,23 +11,37 @@ HAS_WORD = r"x rlike '[^\\x20\\x09-\\x0D]'"
 WORDS = r"regexp_count(x, '[^\\x20\\x09-\\x0D]+')"
 
 
-def reach(array: str, at: str, stop: str, words: str, most: int) -> str:
-    """SQL for the words on both sides of a place of an array, up to the first element y for which stop holds.
+def reach(array: str, at: str, stop: str, most: int) -> str:
+    """SQL for the words on both sides of a place of an array, up to the first element y for which stop holds or most words.
 
     Every element has a word, so most - 1 elements a side are enough to see whether most words are there.
+    Elements are picked one by one: taking a slice would copy the whole array for each place.
     """
-    step = f"(a, y) -> if(a.done or {stop}, named_struct('done', true, 'n', a.n), named_struct('done', false, 'n', a.n + {words}))"
-    start = "named_struct('done', false, 'n', 0)"
-    before = f"reverse(slice({array}, greatest({at} - {most - 2}, 1), least({at}, {most - 1})))"
-    after = f"slice({array}, {at} + 2, {most - 1})"
-    return f"(aggregate({before}, {start}, {step}, a -> a.n) + aggregate({after}, {start}, {step}, a -> a.n))"
+    steps = f"array({', '.join(map(str, range(1, most)))})"
 
+    def side(sign: str) -> str:
+        y = f"get({array}, {at} {sign} j)"
+        ends = f"a.done or a.n >= {most} or {y} is null or {stop.replace('y.', y + '.')}"
+        step = f"(a, j) -> if({ends}, named_struct('done', true, 'n', a.n), named_struct('done', false, 'n', a.n + {y}.w))"
+        return f"aggregate({steps}, named_struct('done', false, 'n', 0), {step}, a -> a.n)"
 
-def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """number (the id), key (of id and text) and lines (h and w of each line with a word) of every row."""
+    return f"({side('-')} + {side('+')})"
+
+
+def line_table(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """number (the id), key (of id and text), lines (h and w of each line with a word) and prints of every row.
+
+    prints: h, at and before (the place of the previous print of the same line in the document) of each fingerprint.
+    """
     base = docs.select(F.col(id_col).alias("number"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     lines = rf"transform(filter(split(text, '\\n', -1), x -> {HAS_WORD}), x -> named_struct('h', xxhash64(x), 'w', {WORDS}))"
-    return base.select("number", F.xxhash64(F.col("number").cast("string"), "text").alias("key"), F.expr(lines).alias("lines"))
+    one = base.select("number", F.xxhash64(F.col("number").cast("string"), "text").alias("key"), F.expr(lines).alias("lines"))
+    better = "(y.w > x.w or (y.w = x.w and y.h < x.h))"
+    wide = reach("lines", "i", better, min_words)
+    chosen = f"filter(transform(lines, (x, i) -> if(case when x.w >= {min_words} then true else x.w + {wide} >= {min_words} end, named_struct('h', x.h, 'at', i), null)), p -> p is not null)"
+    two = one.select("number", "key", "lines", F.expr(f"sort_array({chosen})").alias("s"))
+    before = "transform(s, (x, i) -> named_struct('h', x.h, 'at', x.at, 'before', if(get(s, i - 1).h = x.h, get(s, i - 1).at, null)))"
+    return two.select("number", "key", "lines", F.expr(before).alias("prints"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,11 +56,13 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     Winnowing: of the lines in every window of min_words words or more, the one
     that comes first by length and hash is a fingerprint, so equal runs of that
     many words share one.  A line is one if the stretch of lines around
-    it that come after it in that order has min_words words.  Every fingerprint
-    is joined to the first place of its line alone, not to all others, which gives a
-    pair of documents and a shift; for each of those, both documents' line hashes are laid side by
-    side and runs extend both ways as far as the lines agree.  Repeats
-    are looked for only against that first place.
+    it that come after it in that order has min_words words.  A document's
+    first print of a line is joined to the first place of that line in all
+    documents, not to all others, and its further prints of the line to the one
+    before them in the document.  That gives pairs of documents, or one, and
+    shifts, few even where a document repeats a line any number of times.  For
+    each of them both documents' line hashes are laid side by side, and runs extend both ways as far as the lines
+    agree.  Repeats are looked for only against those places.
 
     A hot line is one group of a partial aggregation and then one row that its
     followers join, through exchanges of their own, which adaptive execution can split.
@@ -54,15 +70,14 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     Null texts have no line and stay null; rows that repeat a document whole (id
     and text) are treated alike; an empty table gives an empty one; other columns are carried along.
     """
-    docs_lines = saved(line_table(docs, id_col, text_col))
-    better = "(y.w > x.w or (y.w = x.w and y.h < x.h))"
-    wide = reach("lines", "i", better, "y.w", min_words)
-    marked = docs_lines.select("number", "key", F.expr(f"filter(transform(lines, (x, i) -> if(case when x.w >= {min_words} then true else x.w + {wide} >= {min_words} end, named_struct('h', x.h, 'at', i), null)), p -> p is not null)").alias("prints"))
-    prints = marked.select("number", "key", F.expr("inline(prints)"))
+    docs_lines = saved(line_table(docs, min_words, id_col, text_col))
+    prints = docs_lines.select("number", "key", F.expr("inline(filter(prints, p -> p.before is null))")).drop("before")
     place = F.struct(F.col("number").isNotNull().alias("named"), "number", "key", "at")
     first = saved(prints.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("line"), "first"))
     later = prints.join(first, (F.col("h") == F.col("line")) & ~((F.col("key") == F.col("first.key")) & (F.col("at") == F.col("first.at"))))
-    pairs = saved(later.select("key", F.col("first.key").alias("source"), (F.col("at") - F.col("first.at")).alias("shift")).distinct())
+    later = later.select("key", F.col("first.key").alias("source"), (F.col("at") - F.col("first.at")).alias("shift"))
+    inside = docs_lines.select("key", F.col("key").alias("source"), F.expr("explode(array_distinct(transform(filter(prints, p -> p.before is not null), p -> p.at - p.before)))").alias("shift"))
+    pairs = saved(later.union(inside).distinct())
 
     used = pairs.select("key").union(pairs.select("source")).distinct().withColumnRenamed("key", "used")
     sides = saved(docs_lines.join(used, F.col("key") == F.col("used"), "left_semi").select("key", "lines").dropDuplicates(["key"]))
@@ -71,8 +86,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     side = pairs.join(theirs, F.col("source") == F.col("their_key")).select("key", "source", "shift", "c").join(mine, F.col("key") == F.col("my_key"))
     same = "transform(b, (x, k) -> named_struct('w', x.w, 'same', coalesce(x.h = get(c, k - shift), false) and (source <> key or shift > 0)))"
     side = side.select("key", F.expr(same).alias("e"))
-    run = reach("e", "i", "not y.same", "y.w", min_words)
-    gone = side.select("key", F.expr(f"transform(e, (x, i) -> x.same and (case when x.w >= {min_words} then true else x.w + {run} >= {min_words} end))").alias("gone")).where("exists(gone, g -> g)")
+    run = reach("e", "i", "not y.same", min_words)
+    gone = side.select("key", F.expr(f"transform(e, (x, i) -> x.same and (case when x.w >= {min_words} then true else x.w + {run} >= {min_words} end))").alias("gone"))
+    # a filter would be pushed below the arrays' projections, with their definitions put in for each element; a generator stays above
+    gone = gone.select("key", F.expr("explode(if(exists(gone, g -> g), array(gone), array()))").alias("gone"))
     masks = gone.groupBy("key").agg(F.collect_set("gone").alias("masks"))
     masks = saved(masks.select(F.col("key").alias("cut"), F.expr("transform(masks[0], (g, i) -> exists(masks, m -> m[i]))").alias("mask")))
 
@@ -84,7 +101,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     parts = parts.withColumn("_drop", F.expr("filter(transform(_full, (x, i) -> if(mask[i], x, null)), x -> x is not null)"))
     between = "slice(_lines, coalesce(get(_drop, j - 1), -1) + 2, coalesce(get(_drop, j), size(_lines)) - coalesce(get(_drop, j - 1), -1) - 1)"
     parts = parts.withColumn("_kept", F.expr(f"if(size(_drop) = size(_full), null, array_join(flatten(transform(sequence(0, size(_drop)), j -> {between})), '\\n'))"))
-    parts = parts.where("mask is null or _kept is not null")
-    text = F.when(F.col("mask").isNull(), F.col(text_col)).otherwise(F.col("_kept"))
-    out = [text.alias(c) if c == text_col else F.when(F.col("mask").isNull(), F.col(c)).otherwise(F.length("_kept").cast("long")).alias(c) if c == "n_chars" else F.col(c) for c in columns]
+    new = F.expr(f"explode(case when mask is null then array(`{text_col}`) when _kept is not null then array(_kept) else array() end)")
+    parts = parts.select(*columns, "mask", new.alias("_text"))
+    changed = F.col("mask").isNotNull()
+    out = [F.col("_text").alias(c) if c == text_col else F.when(changed, F.length("_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in columns]
     return parts.select(*out)
