@@ -85,7 +85,10 @@ def learn_rules(values: dict[str, np.ndarray], bad: np.ndarray, precision: float
             best, gain = None, 1e-9
             for name in names:
                 x, y = values[name][now], bad[now]
-                for at in np.unique(np.quantile(x, np.linspace(0, 1, cuts + 1)[1:], method="higher")).tolist():
+                seen = np.unique(x)
+                # halfway between neighbouring values, at some of the quantiles
+                for k in np.unique(np.searchsorted(seen, np.quantile(x, np.linspace(0, 1, cuts + 1)[1:], method="higher"))).tolist():
+                    at = (seen[k - 1] + seen[k]) / 2 if k else seen[0]
                     low = x < at
                     for side, mask in (("<", low), (">=", ~low)):
                         p = int((mask & y).sum())

@@ -64,8 +64,11 @@ def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_co
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of the fewest segments of 64 bits of which two fingerprints at the distance always share one but for a bit."""
-    n = distance // 2 + 1
+    """(first bit, bits) of the fewest segments of 64 bits of which two fingerprints at the distance always share one but for a bit.
+
+    There are two at least, so that a segment and a bit's number fit in a long.
+    """
+    n = max(2, distance // 2 + 1)
     edges = [64 * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
