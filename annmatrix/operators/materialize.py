@@ -178,7 +178,7 @@ class MixedRun:
     def item(self, key: tuple, task: Any) -> Item:
         i = self.place[task.name]
         if isinstance(task, AggregateTask):
-            groups = self.assignment.numbered[self.aggregates.index(task)].count()
+            groups = self.assignment.n_groups[self.aggregates.index(task)]
             return Item(i, groups=groups, accumulators=len({"sum" if m == "mean" else m for m in task.metrics}))
         rows = self.row_sets.where(F.col("task") == i).select("row")
         matrix = self.matrix_of(key)
@@ -247,12 +247,12 @@ class MixedRun:
         for i, t in enumerate(self.aggregates):
             key = (t.source, t.features) if t.metrics else None
             members.setdefault(key, []).append(i)
-            groups = self.assignment.numbered[i].count()
+            groups = self.assignment.n_groups[i]
             sizes[t.name] = groups * self.selections[key].size * 8 * len(t.metrics)
             extra += groups * self.selections[key].size * 8 * ("mean" in t.metrics)
         final = held + kept + extra
         self.check(final, "aggregate result finalization")
-        rows, edges, _ = self.assignment.counts({})
+        rows, edges = self.assignment.task_rows(), self.assignment.edges
         results |= build_results(self.assignment, members, scans, self.selections, (rows, edges), self.run_id)
         if plan and extra and final > plan[-1]["peak_buffer_bytes"]:
             plan[-1]["peak_buffer_bytes"] = final
@@ -261,7 +261,7 @@ class MixedRun:
     def report(self, planner: Planner, plan: list, sizes: dict, peak: int) -> ExecutionReport:
         per = {r.task: r.n for r in self.row_sets.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()}
         reads = {t.name for a, m in self.groups.values() for t in (*a, *m)}
-        edges = self.assignment.counts({})[1] if self.assignment else []
+        edges = self.assignment.edges if self.assignment else []
         at = {t.name: edges[i] for i, t in enumerate(self.aggregates)}
         return ExecutionReport(
             run_id=self.run_id,

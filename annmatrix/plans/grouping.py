@@ -27,10 +27,11 @@ def label(rows: DataFrame, column: str) -> Column:
     return F.coalesce(present(rows, column).cast("string"), F.lit(MISSING))
 
 
-def ambiguous(rows: DataFrame, column: str) -> Column:
-    """Whether some rows are missing and others hold the missing label as a value: an aggregate."""
+def ambiguous(rows: DataFrame, column: str, test: Column) -> Column:
+    """Whether, where test holds, some rows are missing and others hold the missing label as a value: an aggregate."""
     value = present(rows, column)
-    return F.max(F.when(value.isNull(), 1).otherwise(0)) + F.max(F.when(value.cast("string") == MISSING, 1).otherwise(0)) > 1
+    flag = lambda c: F.coalesce(F.max((test & c).cast("int")), F.lit(0))
+    return flag(value.isNull()) + flag(F.coalesce(value.cast("string") == MISSING, F.lit(False))) > 1
 
 
 def ordered_groups(groups: DataFrame, columns: Sequence[str], levels: Sequence[list | None]) -> DataFrame:

@@ -141,33 +141,41 @@ def membership_edges(obs: DataFrame, task: AggregateTask) -> DataFrame:
 
 
 class Assignment:
-    """Which rows are in which group of which task."""
+    """Which rows are in which group of which task.
 
-    def __init__(self, obs: DataFrame, tasks: Sequence[AggregateTask]):
+    One pass over the metadata checks the labels and counts the unions, one more makes the groups.
+    """
+
+    def __init__(self, obs: DataFrame, tasks: Sequence[AggregateTask], scans: Sequence[Sequence[int]] = ()):
         self.tasks = list(tasks)
         self.sources: list[DataFrame] = []
-        plain, parts = [], []
+        self.plain: list[int] = []
+        parts = []
         for i, task in enumerate(self.tasks):
             if task.membership is None:
                 require(obs, task.groupby)
                 self.sources.append(obs)
-                plain.append(i)
+                self.plain.append(i)
             else:
                 rows = membership_edges(obs, task)
                 require(rows, task.groupby)
                 self.sources.append(rows)
                 parts.append(rows.select(F.col("_pos").alias("row"), F.lit(i).alias("task"), self.key(i).alias("key"), self.missing(i).alias("missing"), F.col("_edge").cast("long").alias("at")))
-        if plain:  # one pass over the metadata for all of them
-            tags = [F.when(predicate.condition(self.tasks[i].where, self.tasks[i].params), F.struct(F.lit(i).alias("task"), self.key(i).alias("key"), self.missing(i).alias("missing"))) for i in plain]
+        self.tests = {i: F.coalesce(predicate.condition(self.tasks[i].where, self.tasks[i].params), F.lit(False)) for i in self.plain}
+        if self.plain:
+            tags = [F.when(self.tests[i], F.struct(F.lit(i).alias("task"), self.key(i).alias("key"), self.missing(i).alias("missing"))) for i in self.plain]
             tagged = obs.select(F.col("_pos").alias("row"), F.explode(F.filter(F.array(*tags), lambda t: t.isNotNull())).alias("t"))
             parts.insert(0, tagged.select("row", "t.task", "t.key", "t.missing", F.col("row").cast("long").alias("at")))
-        self.check_labels(obs, plain)
+        self.unions = self.check_and_count(obs, scans)
         self.rows = reduce(DataFrame.unionByName, parts)
         self.groups = self.rows.groupBy("task", "key", "missing").agg(F.count(F.lit(1)).alias("n_cells"), F.min("at").alias("first")).persist()
+        sizes = {r.task: (r.g, r.edges) for r in self.groups.groupBy("task").agg(F.count(F.lit(1)).alias("g"), F.sum("n_cells").alias("edges")).collect()}
+        self.n_groups = [sizes.get(i, (0, 0))[0] for i in range(len(self.tasks))]
+        self.edges = [int(sizes.get(i, (0, 0))[1]) for i in range(len(self.tasks))]
         self.numbered: list[DataFrame] = []
         for i, task in enumerate(self.tasks):
             levels = [categories(self.sources[i].schema[c]) for c in task.groupby]
-            self.numbered.append(ordered_groups(self.groups.where(F.col("task") == i), task.groupby, levels).persist())
+            self.numbered.append(ordered_groups(self.groups.where(F.col("task") == i), task.groupby, levels))
 
     def key(self, i: int):
         return F.array(*[label(self.sources[i], c) for c in self.tasks[i].groupby])
@@ -175,19 +183,38 @@ class Assignment:
     def missing(self, i: int):
         return F.array(*[present(self.sources[i], c).isNull() for c in self.tasks[i].groupby])
 
-    def check_labels(self, obs: DataFrame, plain: list[int]) -> None:
+    def check_and_count(self, obs: DataFrame, scans: Sequence[Sequence[int]]) -> dict[tuple[int, ...], int]:
+        """Rows of the union of each list of tasks without memberships; and the check that no missing label is also a value."""
+        wanted: list[tuple[str, str]] = []
+        checks, unions = [], []
         for i, task in enumerate(self.tasks):
-            rows = predicate.matching(obs, task.where, task.params) if i in plain else self.sources[i]
+            rows = self.sources[i]
             text = [c for c in task.groupby if rows.schema[c].dataType.simpleString() == "string"]
-            if text:
-                found = rows.agg(*[ambiguous(rows, c).alias(f"c{k}") for k, c in enumerate(text)]).first()
-                if bad := [c for k, c in enumerate(text) if found[k]]:
-                    raise ValueError(f"groupby columns {bad} hold both missing values and the label {MISSING!r}")
+            if i in self.tests:
+                checks += [ambiguous(rows, c, self.tests[i]) for c in text]
+                wanted += [(task.name, c) for c in text]
+            elif text:
+                found = rows.agg(*[ambiguous(rows, c, F.lit(True)) for c in text]).first()
+                self.refuse([c for c, bad in zip(text, found, strict=True) if bad])
+        for members in scans:
+            if all(i in self.tests for i in members):
+                unions.append(tuple(members))
+        counts = [F.count_if(reduce(lambda x, y: x | y, [self.tests[i] for i in members])) for members in unions]
+        if not checks and not counts:
+            return {}
+        got = obs.agg(*[c.alias(f"c{k}") for k, c in enumerate([*checks, *counts])]).first()
+        self.refuse([c for (_, c), bad in zip(wanted, got, strict=False) if bad])
+        return dict(zip(unions, got[len(checks) :], strict=True))
+
+    @staticmethod
+    def refuse(columns: list[str]) -> None:
+        if columns:
+            raise ValueError(f"groupby columns {columns} hold both missing values and the label {MISSING!r}")
 
     def numbered_rows(self) -> DataFrame:
         """row, task, group_idx of every assignment."""
         groups = reduce(DataFrame.union, [g.select(F.col("task").alias("_task"), F.col("key").alias("_key"), F.col("missing").alias("_missing"), "group_idx") for g in self.numbered])
-        if groups.count() <= BROADCAST_GROUPS:
+        if sum(self.n_groups) <= BROADCAST_GROUPS:
             groups = F.broadcast(groups)
         met = self.rows.join(groups, (F.col("task") == F.col("_task")) & (F.col("key") == F.col("_key")) & (F.col("missing") == F.col("_missing")))
         return met.select("row", "task", "group_idx")
@@ -203,16 +230,20 @@ class Assignment:
         out = self.numbered[i].select("group_idx", F.concat(F.lit(f"{task.name}:"), F.col("group_idx").cast("string")).alias("group"), *keys, "n_cells")
         return out.withColumn("view_id", F.col("group")) if task.membership is not None else out
 
-    def counts(self, scans: dict[Any, list[int]]) -> tuple[list[int], list[int], dict[Any, int]]:
-        """Rows and edges by task, and rows of each scan's union."""
-        per = {r.task: (r.rows, r.edges) for r in self.rows.groupBy("task").agg(F.countDistinct("row").alias("rows"), F.count(F.lit(1)).alias("edges")).collect()}
-        union = {}
-        for k, members in scans.items():
-            if len(members) == 1:
-                union[k] = per.get(members[0], (0, 0))[0]
-            else:
-                union[k] = self.rows.where(F.col("task").isin(members)).select("row").distinct().count()
-        return [per.get(i, (0, 0))[0] for i in range(len(self.tasks))], [per.get(i, (0, 0))[1] for i in range(len(self.tasks))], union
+    def task_rows(self) -> list[int]:
+        """Distinct rows by task: the edges, but for memberships."""
+        out = list(self.edges)
+        members = [i for i in range(len(self.tasks)) if i not in self.tests]
+        if members:
+            per = {r.task: r.n for r in self.rows.where(F.col("task").isin(members)).groupBy("task").agg(F.countDistinct("row").alias("n")).collect()}
+            for i in members:
+                out[i] = per.get(i, 0)
+        return out
+
+    def union_rows(self, members: Sequence[int]) -> int:
+        """Distinct rows of some tasks together."""
+        found = self.unions.get(tuple(members))
+        return self.rows.where(F.col("task").isin(list(members))).select("row").distinct().count() if found is None else int(found)
 
 
 def scan(matrix: Matrix, tags: DataFrame, selection: Selection) -> DataFrame:
@@ -285,14 +316,14 @@ def aggregate_many(data: Any, tasks: Sequence[AggregateTask], *, batch_size: int
     if None in members:
         # group sizes only: features are listed, the matrix isn't touched
         selections[None] = select_features(data.var, None) if data.var is not None else Selection([], obs.sparkSession.createDataFrame([], "feature_pos int, col int, feature string"), 0)
-    assignment = Assignment(obs, tasks)
     reading = {k: v for k, v in members.items() if k}
-    rows, edges, union = assignment.counts(reading)
+    assignment = Assignment(obs, tasks, list(reading.values()))
+    rows, edges = assignment.task_rows(), assignment.edges
+    union = {k: assignment.union_rows(v) for k, v in reading.items()}
     tags = assignment.numbered_rows() if reading else None
     scans = {k: scan(matrices[k], tags.where(F.col("task").isin(v)), selections[k]) for k, v in reading.items()}
     run_id = uuid.uuid4().hex
     results = build_results(assignment, members, scans, selections, (rows, edges), run_id)
-    n_groups = {i: assignment.numbered[i].count() for i in range(len(tasks))}
     report = ExecutionReport(
         run_id=run_id,
         task_count=len(tasks),
@@ -302,7 +333,7 @@ def aggregate_many(data: Any, tasks: Sequence[AggregateTask], *, batch_size: int
         unique_rows=sum(union.values()),
         matrix_bytes_read=sum(union[k] * selections[k].size * matrices[k].value_bytes for k in reading if matrices[k].kind == "dense"),
         elapsed_seconds=time.time() - began,
-        result_bytes={tasks[i].name: n_groups[i] * selections[k].size * 8 * len(tasks[i].metrics) for k, v in members.items() for i in v},
+        result_bytes={tasks[i].name: assignment.n_groups[i] * selections[k].size * 8 * len(tasks[i].metrics) for k, v in members.items() for i in v},
         task_rows={t.name: rows[i] for i, t in enumerate(tasks)},
         task_memberships={t.name: edges[i] for i, t in enumerate(tasks)},
     )
