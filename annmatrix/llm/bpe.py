@@ -23,6 +23,7 @@ token of each shorter prefix.
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 
 import numpy as np
@@ -34,6 +35,10 @@ CHUNK = 512
 BLOCK = 1_000_000
 #: States of the merge transducer before it is built anew.
 MOST_STATES = 200_000
+#: How far back a live prefix ends, its last token and its tokens less those of the whole.
+LIVE = struct.Struct("<hih")
+#: Pairs of tokens whose fit is remembered.
+MOST_FITS = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -123,6 +128,40 @@ class Splitter:
         return cut
 
 
+class Edges:
+    """A map from (state, byte) to (target, tokens added), for arrays of keys: open addressing in plain arrays."""
+
+    def __init__(self, bits: int = 14):
+        self.bits, self.used = bits, 0
+        self.key = np.full(1 << bits, -1, np.int64)
+        self.to, self.adds = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int8)
+
+    def place(self, key: np.ndarray) -> np.ndarray:
+        """The slot of each key, or the free one where it would go."""
+        at = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        held = self.key[at]
+        off = np.flatnonzero((held != key) & (held >= 0))
+        while len(off):
+            at[off] = (at[off] + 1) & ((1 << self.bits) - 1)
+            held = self.key[at[off]]
+            off = off[(held != key[off]) & (held >= 0)]
+        return at
+
+    def put(self, key: np.ndarray, to: np.ndarray, adds: np.ndarray) -> None:
+        """Adds keys that aren't there."""
+        if 2 * (self.used + len(key)) > 1 << self.bits:
+            old = self.key >= 0
+            key, to, adds = (np.concatenate([a[old], b]) for a, b in ((self.key, key), (self.to, to), (self.adds, adds)))
+            self.__init__(max(self.bits + 1, int(2 * len(key)).bit_length() + 1))
+        self.used += len(key)
+        left = np.arange(len(key))
+        while len(left):  # of keys that meet in a slot one gets it
+            at, first = np.unique(self.place(key[left]), return_index=True)
+            now = left[first]
+            self.key[at], self.to[at], self.adds[at] = key[now], to[now], adds[now]
+            left = np.delete(left, first)
+
+
 class MergeTransducer:
     """The encoding of single words, as an automaton that grows when used."""
 
@@ -149,34 +188,14 @@ class MergeTransducer:
         self.has_final = bool(suffix)
         self.edges: list[dict[int, list[tuple[int, int]]]] = [{}, {}]
         self.fits: dict[tuple[int, int], bool] = {}
-        self.column = np.full(256, -1, np.int64)
         self.reset()
 
     def reset(self) -> None:
-        self.number = {(b"", ((0, -1, 0),)): 0}
-        self.state = list(self.number)
-        self.columns = int(self.column.max()) + 1
-        self.room = 4096
-        shape = self.room, max(64, self.columns)
-        self.next, self.adds = np.full(shape, -1, np.int32), np.zeros(shape, np.int8)
-        self.ends, self.end_adds = (np.full(shape, -1, np.int32), np.zeros(shape, np.int8)) if self.has_final else (None, None)
-        self.last = np.full(self.room, -1, np.int32)
-
-    def grow(self, states: int, columns: int) -> None:
-        rows, wide = self.next.shape
-        if states <= rows and columns <= wide:
-            return
-        shape = max(rows, 2 * states if states > rows else 0), max(wide, columns + 16 if columns > wide else 0)
-
-        def larger(a, fill):
-            b = np.full(shape, fill, a.dtype)
-            b[:rows, :wide] = a
-            return b
-
-        self.next, self.adds = larger(self.next, -1), larger(self.adds, 0)
-        if self.has_final:
-            self.ends, self.end_adds = larger(self.ends, -1), larger(self.end_adds, 0)
-        self.last = np.concatenate([self.last, np.full(shape[0] - len(self.last), -1, np.int32)])
+        start = packed_state(b"", [(0, -1, 0)])
+        self.number = {start: 0}
+        self.state = [start]
+        self.next, self.ends = Edges(), Edges()
+        self.last = np.full(4096, -1, np.int32)
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The parts at one edge of a token, each with the rank of the merge that takes it in."""
@@ -204,13 +223,12 @@ class MergeTransducer:
                         break
                 if not found:
                     break
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > MOST_FITS:
                 self.fits.clear()
             self.fits[key] = found
         return found
 
-    def token_after(self, state: int, byte: int, vocab: dict[bytes, int]) -> tuple[bytes, int, int]:
-        window, live = self.state[state]
+    def token_after(self, window: bytes, live: list, byte: int, vocab: dict[bytes, int]) -> tuple[bytes, int, int]:
         longer = window + bytes((byte,))
         n = len(window)
         for back, last, count in live:
@@ -219,36 +237,35 @@ class MergeTransducer:
                 return longer, token, count + 1
         raise ValueError(f"no token for the bytes {longer!r}")
 
-    def build(self, state: int, byte: int) -> None:
-        longer, token, adds = self.token_after(state, byte, self.plain)
-        n, prefixes = len(longer) - 1, self.prefixes
-        live = [(back + 1, last, count - adds) for back, last, count in self.state[state][1] if longer[n - back :] in prefixes]
+    def build(self, key: int) -> tuple[int, int]:
+        state, byte = key >> 8, key & 255
+        window, old = unpacked_state(self.state[state])
+        longer, token, adds = self.token_after(window, old, byte, self.plain)
+        n, prefixes = len(window), self.prefixes
+        live = [(back + 1, last, count - adds) for back, last, count in old if longer[n - back :] in prefixes]
         live.append((0, token, 0))
-        widest = live[0][0]
-        key = longer[len(longer) - widest :], tuple(live)
-        to = self.number.get(key)
+        name = packed_state(longer[len(longer) - live[0][0] :], live)
+        to = self.number.get(name)
         if to is None:
-            to = self.number[key] = len(self.state)
-            self.state.append(key)
-            self.grow(to + 1, 0)
+            to = self.number[name] = len(self.state)
+            self.state.append(name)
+            if to >= len(self.last):
+                self.last = np.concatenate([self.last, np.full(len(self.last), -1, np.int32)])
             self.last[to] = token
-        at = state, self.column[byte]
-        self.next[at], self.adds[at] = to, adds
+        return to, adds
 
-    def build_end(self, state: int, byte: int) -> None:
-        _, token, adds = self.token_after(state, byte, self.final)
-        at = state, self.column[byte]
-        self.ends[at], self.end_adds[at] = token, adds
+    def build_end(self, key: int) -> tuple[int, int]:
+        window, live = unpacked_state(self.state[key >> 8])
+        _, token, adds = self.token_after(window, live, key & 255, self.final)
+        return token, adds
 
     def run(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, want_ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
-        """Tokens of each word, and with want_ids their numbers one after the other."""
+        """Tokens of each word, and with want_ids their numbers one after the other.
+
+        Past MOST_STATES the states are dropped and grow anew, so memory stays bounded whatever the text.
+        """
         if len(self.state) > MOST_STATES:
             self.reset()
-        for b in np.flatnonzero(np.bincount(data, minlength=256)):
-            if self.column[b] < 0:
-                self.column[b] = self.columns
-                self.columns += 1
-        self.grow(0, self.columns)
         order = np.argsort(-lengths, kind="stable")
         start, length = starts[order], lengths[order]
         n = len(order)
@@ -257,24 +274,19 @@ class MergeTransducer:
         alive = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1 if n else 1), side="right")
         for j, k in enumerate(alive.tolist()):
             at = start[:k] + j
-            byte = data[at]
-            first = 0
+            key = state[:k] * 256 + data[at]
             if self.has_final:  # the words that end here
                 first = int(np.searchsorted(-length[:k], -(j + 1), side="left"))
                 if first < k:
-                    s, b = state[first:k], byte[first:k]
-                    token = self.look(self.ends, s, b, self.build_end, "ends")
-                    count[first:k] += self.end_adds[s, self.column[b]]
+                    token, adds = self.look(self.ends, key[first:], self.build_end)
+                    count[first:k] += adds
                     if want_ids:
-                        token_at[at[first:k]] = token
+                        token_at[at[first:]] = token
                 k = first
                 if not k:
                     continue
-                s, b = state[:k], byte[:k]
-            else:
-                s, b = state[:k], byte
-            to = self.look(self.next, s, b, self.build, "next")
-            count[:k] += self.adds[s, self.column[b]]
+            to, adds = self.look(self.next, key[:k], self.build)
+            count[:k] += adds
             state[:k] = to
             if want_ids:
                 token_at[at[:k]] = self.last[to]
@@ -292,14 +304,26 @@ class MergeTransducer:
             live, at, place = live[stay], at[stay], place[stay]
         return counts, ids
 
-    def look(self, table, s, b, build, name: str) -> np.ndarray:
-        c = self.column[b]
-        to = table[s, c]
-        if len(to) and to.min() < 0:
-            for pair in np.unique(s[to < 0] * 256 + b[to < 0]).tolist():
-                build(pair >> 8, pair & 255)
-            to = getattr(self, name)[s, c]
-        return to
+    @staticmethod
+    def look(edges: Edges, key: np.ndarray, build) -> tuple[np.ndarray, np.ndarray]:
+        """Targets and added tokens; transitions that aren't there yet are built."""
+        at = edges.place(key)
+        missing = edges.key[at] < 0
+        if missing.any():
+            new = np.unique(key[missing])
+            made = np.array([build(k) for k in new.tolist()], np.int64)
+            edges.put(new, made[:, 0].astype(np.int32), made[:, 1].astype(np.int8))
+            at = edges.place(key)
+        return edges.to[at], edges.adds[at]
+
+
+def packed_state(window: bytes, live: list[tuple[int, int, int]]) -> bytes:
+    return bytes((len(live),)) + b"".join(LIVE.pack(*x) for x in live) + window
+
+
+def unpacked_state(state: bytes) -> tuple[bytes, list[tuple[int, int, int]]]:
+    end = 1 + state[0] * LIVE.size
+    return state[end:], list(LIVE.iter_unpack(state[1:end]))
 
 
 class Tokenizer:
@@ -317,7 +341,8 @@ class Tokenizer:
         self.normal = "Lowercase" in kinds
         self.join_space = not self.normal
         self.splitter = Splitter(self.join_space, single_numbers=self.normal)
-        self.library = tokenizers.Tokenizer.from_file(path)
+        # the library's vocabulary isn't kept: only its splitter is asked, for the class of a character
+        self.library = tokenizers.Tokenizer.from_file(path).pre_tokenizer
         self.classes = np.full(0x110000, UNKNOWN, np.uint8)
 
     def learn_class(self, point: int) -> None:
@@ -325,7 +350,7 @@ class Tokenizer:
         c = chr(point)
 
         def pieces(t):
-            return [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(t)]
+            return [x for x, _ in self.library.pre_tokenize_str(t)]
 
         if c == "'":
             kind = APOSTROPHE

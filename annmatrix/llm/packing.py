@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from . import bpe
-from .common import saved, text_of, tokenizer_path
+from .common import parts, saved, text_of, tokenizer_path
 
 PIECE = "doc_id:long,piece:int,start:long,length:long,ids_crc32:long"
 BIN = f"sequence_id long, used int, pieces array<struct<{PIECE}>>"
@@ -90,7 +90,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
             for k in range(0, len(out), 5000):
                 yield rows(out[k : k + 5000])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             whole = []
             at = 0
@@ -146,16 +146,16 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     bins = saved(texts.mapInArrow(first, BIN))
     done, rest = bins.where(F.col("used") >= limit), bins.where(F.col("used") < limit)
-    parts = bins.rdd.getNumPartitions()
+    spans = bins.rdd.getNumPartitions()
     left = rest.count()
-    while left and parts > 1:
-        groups = max(-(-parts // FAN_IN), -(-left // GROUP))
+    while left and spans > 1:
+        groups = max(-(-spans // FAN_IN), -(-left // GROUP))
         # neighbouring partitions first: the task number stands in the high bits of sequence_id, the place in it below
         key = F.pmod(F.shiftright("sequence_id", 40), F.lit(groups)) if left < groups * GROUP // 2 else F.pmod(F.xxhash64("sequence_id"), F.lit(groups))
         packed = saved(rest.withColumn("g", key).groupBy("g").applyInArrow(lambda t: again(t), BIN))
         done = done.union(packed.where(F.col("used") >= limit))
         rest = packed.where(F.col("used") < limit)
-        before, left, parts = left, rest.count(), groups
+        before, left, spans = left, rest.count(), groups
         if left > 0.98 * before and groups > 1 and left > GROUP:
             break
     return done.union(rest).mapInArrow(spread, OUT)
