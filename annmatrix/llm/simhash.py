@@ -16,6 +16,8 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Bytes of a text that are split into words at once.
 BLOCK = 1 << 20
+#: Distinct fingerprints of a part of the index, before they are multiplied by their variants.
+FINGERPRINTS = 50_000
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -116,8 +118,10 @@ def near_duplicates(docs: DataFrame, distance: int = 4, size: int = 4, id_col: s
     further columns are not read.
     """
     prints = saved(fingerprints(docs, size, id_col, text_col))
-    one = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    roots = saved(components(links(one.select("fp"), distance)))
+    one = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    # each fingerprint becomes 64 rows, so the few bytes that it takes here say little about the parts that it needs
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), one.count() // FINGERPRINTS)
+    roots = saved(components(links(one.select("fp").repartition(parts, "fp"), distance)))
     named = one.join(roots, one.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     whole = named.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
     names = saved(named.join(whole, "root").select(F.col("fp").alias("print"), "component_id", "component_size"))
