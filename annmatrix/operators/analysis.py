@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import NameRegistry, PipelineStateValidator
+from ..plans.lineage import cut
 from ..sources.matrix import Matrix, from_array
 
 #: Rows that meet as one block of a neighbour search.
@@ -242,16 +243,16 @@ def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, rou
     """
     spark = edges.sparkSession
     member = nodes.select("node", F.col("node").alias("c"))
-    now = edges.groupBy("a", "b").agg(F.sum("w").alias("w")).persist()
+    now = cut(edges.groupBy("a", "b").agg(F.sum("w").alias("w")))
     size = now.count()
     while size > DRIVER_EDGES:
         total = now.agg(F.sum("w")).first()[0]
         labels = now.select(F.col("a").alias("node")).union(now.select("b")).distinct().withColumn("c", F.col("node"))
         for turn in range(rounds):
-            labels = move_round(now, labels, total, resolution, turn).persist()
+            labels = cut(move_round(now, labels, total, resolution, turn))  # else the plan would grow by a power of the rounds
         at = labels.select(F.col("node").alias("n"), F.col("c").alias("to"))
-        member = member.join(at, F.col("c") == F.col("n"), "left").select("node", F.coalesce("to", "c").alias("c")).persist()
-        new = now.join(at, F.col("a") == F.col("n")).select(F.col("to").alias("a"), "b", "w").join(at, F.col("b") == F.col("n")).groupBy("a", F.col("to").alias("b")).agg(F.sum("w").alias("w")).persist()
+        member = cut(member.join(at, F.col("c") == F.col("n"), "left").select("node", F.coalesce("to", "c").alias("c")))
+        new = cut(now.join(at, F.col("a") == F.col("n")).select(F.col("to").alias("a"), "b", "w").join(at, F.col("b") == F.col("n")).groupBy("a", F.col("to").alias("b")).agg(F.sum("w").alias("w")))
         before, size = size, new.count()
         now = new
         if size > 0.9 * before:

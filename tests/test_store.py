@@ -246,7 +246,7 @@ def test_communities_in_tables(spark, monkeypatch):
     nodes = spark.range(13).withColumnRenamed("id", "node")
     for bound in (10, 1000):
         monkeypatch.setattr(analysis, "DRIVER_EDGES", bound)
-        found = {r.node: r.c for r in analysis.communities(edges, nodes).collect()}
+        found = {r.node: r.c for r in analysis.communities(edges, nodes, rounds=4).collect()}
         assert len({found[i] for i in range(6)}) == 1 and len({found[i] for i in range(6, 12)}) == 1 and found[0] != found[6] and found[12] not in (found[0], found[6])
 
 
