@@ -11,37 +11,36 @@ HAS_WORD = r"x rlike '[^\\x20\\x09-\\x0D]'"
 WORDS = r"regexp_count(x, '[^\\x20\\x09-\\x0D]+')"
 
 
-def reach(array: str, at: str, stop: str, most: int) -> str:
-    """SQL for the words on both sides of a place of an array, up to the first element y for which stop holds or most words.
+def stretches(sign: str, min_words: int) -> str:
+    """SQL for the shortest stretch of min_words words or more from each line of the array lines onwards (sign +) or back (-).
 
-    Every element has a word, so most - 1 elements a side are enough to see whether most words are there.
+    print and place are its first line by length and hash and where that is; stretch is a
+    hash of its lines and the direction, least its first place and size its lines.
+    Every line has a word, so min_words - 1 more lines are enough.
     Elements are picked one by one: taking a slice would copy the whole array for each place.
     """
-    steps = f"array({', '.join(map(str, range(1, most)))})"
-
-    def side(sign: str) -> str:
-        y = f"get({array}, {at} {sign} j)"
-        ends = f"a.done or a.n >= {most} or {y} is null or {stop.replace('y.', y + '.')}"
-        step = f"(a, j) -> if({ends}, named_struct('done', true, 'n', a.n), named_struct('done', false, 'n', a.n + {y}.w))"
-        return f"aggregate({steps}, named_struct('done', false, 'n', 0), {step}, a -> a.n)"
-
-    return f"({side('-')} + {side('+')})"
-
-
-def line_table(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """number (the id), key (of id and text), lines (h and w of each line with a word) and prints of every row.
-
-    prints: h, at and before (the place of the previous print of the same line in the document) of each fingerprint.
-    """
+    y = f"get(lines, i {sign} j)"
+    start = f"named_struct('n', x.w, 'stretch', xxhash64(x.h, '{sign}'), 'w', x.w, 'print', x.h, 'place', i, 'size', 1)"
+    better = f"({y}.w > a.w or ({y}.w = a.w and {y}.h < a.print))"
+    more = f"named_struct('n', a.n + {y}.w, 'stretch', xxhash64(a.stretch, {y}.h), 'w', if({better}, {y}.w, a.w), 'print', if({better}, {y}.h, a.print), 'place', if({better}, i {sign} j, a.place), 'size', a.size + 1)"
+    steps = f"array({', '.join(map(str, range(1, min_words)))})" if min_words > 1 else "array_repeat(0, 0)"
+    whole = f"if(x.w >= {min_words}, {start}, aggregate({steps}, {start}, (a, j) -> if(a.n >= {min_words} or {y} is null, a, {more})))"
+    least = "i" if sign == "+" else "i - e.size + 1"
+    ends = f"e -> if(e.n >= {min_words}, named_struct('print', e.print, 'place', e.place, 'stretch', e.stretch, 'least', {least}, 'size', e.size), null)"
+    # a line that is long enough by itself is one stretch, not one in each direction
+    skip = "false" if sign == "+" else f"x.w >= {min_words}"
+    return f"transform(lines, (x, i) -> if({skip}, null, transform(array({whole}), {ends})[0]))"
+
+
+def stretch_table(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """number (the id), key (of id and text), print, place, stretch, least and size of every shortest stretch of every row."""
     base = docs.select(F.col(id_col).alias("number"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     lines = rf"transform(filter(split(text, '\\n', -1), x -> {HAS_WORD}), x -> named_struct('h', xxhash64(x), 'w', {WORDS}))"
     one = base.select("number", F.xxhash64(F.col("number").cast("string"), "text").alias("key"), F.expr(lines).alias("lines"))
-    better = "(y.w > x.w or (y.w = x.w and y.h < x.h))"
-    wide = reach("lines", "i", better, min_words)
-    chosen = f"filter(transform(lines, (x, i) -> if(case when x.w >= {min_words} then true else x.w + {wide} >= {min_words} end, named_struct('h', x.h, 'at', i), null)), p -> p is not null)"
-    two = one.select("number", "key", "lines", F.expr(f"sort_array({chosen})").alias("s"))
-    before = "transform(s, (x, i) -> named_struct('h', x.h, 'at', x.at, 'before', if(get(s, i - 1).h = x.h, get(s, i - 1).at, null)))"
-    return two.select("number", "key", "lines", F.expr(before).alias("prints"))
+    # generators keep the arrays from being put in, with their definitions, for each element
+    one = one.select("number", "key", F.explode(F.array("lines")).alias("lines"))
+    both = f"filter(concat({stretches('+', min_words)}, {stretches('-', min_words)}), e -> e is not null)"
+    return one.select("number", "key", F.expr(f"inline({both})"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,52 +52,37 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     an equal one before it, and the first of all equal lines stays.  n_chars, if
     there is such a column, follows the text.  A document of which no line is left goes.
 
-    Winnowing: of the lines in every window of min_words words or more, the one
-    that comes first by length and hash is a fingerprint, so equal runs of that
-    many words share one.  A line is one if the stretch of lines around
-    it that come after it in that order has min_words words.  A document's
-    first print of a line is joined to the first place of that line in all
-    documents, not to all others, and its further prints of the line to the one
-    before them in the document.  That gives pairs of documents, or one, and
-    shifts, few even where a document repeats a line any number of times.  For
-    each of them both documents' line hashes are laid side by side, and runs extend both ways as far as the lines
-    agree.  Repeats are looked for only against those places.
-
-    A hot line is one group of a partial aggregation and then one row that its
+    Winnowing: of the lines in a stretch of min_words words or more, the one
+    that comes first by length and hash is its fingerprint, so equal stretches share it.
+    Every line of a run is in a stretch of the run that can't be
+    shortened at its end, or at its start, without having fewer than min_words words.  So
+    those shortest stretches, from each line onwards and back, are all there is to compare:
+    the ones whose fingerprint is found at one place only are left out, and each other
+    one is joined, by the hash of its lines, to the first place of that stretch in all documents.
+    All others of the stretch go, wherever else their lines are found.
+
+    A hot stretch is one group of a partial aggregation and then one row that its
     followers join, through exchanges of their own, which adaptive execution can split.
 
     Null texts have no line and stay null; rows that repeat a document whole (id
     and text) are treated alike; an empty table gives an empty one; other columns are carried along.
     """
-    docs_lines = saved(line_table(docs, min_words, id_col, text_col))
-    prints = docs_lines.select("number", "key", F.expr("inline(filter(prints, p -> p.before is null))")).drop("before")
-    place = F.struct(F.col("number").isNotNull().alias("named"), "number", "key", "at")
-    first = saved(prints.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("line"), "first"))
-    later = prints.join(first, (F.col("h") == F.col("line")) & ~((F.col("key") == F.col("first.key")) & (F.col("at") == F.col("first.at"))))
-    later = later.select("key", F.col("first.key").alias("source"), (F.col("at") - F.col("first.at")).alias("shift"))
-    inside = docs_lines.select("key", F.col("key").alias("source"), F.expr("explode(array_distinct(transform(filter(prints, p -> p.before is not null), p -> p.at - p.before)))").alias("shift"))
-    pairs = saved(later.union(inside).distinct())
-
-    used = pairs.select("key").union(pairs.select("source")).distinct().withColumnRenamed("key", "used")
-    sides = saved(docs_lines.join(used, F.col("key") == F.col("used"), "left_semi").select("key", "lines").dropDuplicates(["key"]))
-    theirs = sides.select(F.col("key").alias("their_key"), F.expr("transform(lines, x -> x.h)").alias("c"))
-    mine = sides.select(F.col("key").alias("my_key"), F.col("lines").alias("b"))
-    side = pairs.join(theirs, F.col("source") == F.col("their_key")).select("key", "source", "shift", "c").join(mine, F.col("key") == F.col("my_key"))
-    same = "transform(b, (x, k) -> named_struct('w', x.w, 'same', coalesce(x.h = get(c, k - shift), false) and (source <> key or shift > 0)))"
-    side = side.select("key", F.expr(same).alias("e"))
-    run = reach("e", "i", "not y.same", min_words)
-    gone = side.select("key", F.expr(f"transform(e, (x, i) -> x.same and (case when x.w >= {min_words} then true else x.w + {run} >= {min_words} end))").alias("gone"))
-    # a filter would be pushed below the arrays' projections, with their definitions put in for each element; a generator stays above
-    gone = gone.select("key", F.expr("explode(if(exists(gone, g -> g), array(gone), array()))").alias("gone"))
-    masks = gone.groupBy("key").agg(F.collect_set("gone").alias("masks"))
-    masks = saved(masks.select(F.col("key").alias("cut"), F.expr("transform(masks[0], (g, i) -> exists(masks, m -> m[i]))").alias("mask")))
+    rows = saved(stretch_table(docs, min_words, id_col, text_col))
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("key", "place") for f in (F.min, F.max)]
+    seen = rows.groupBy("print").agg(*ends).where("min_key < max_key or min_place < max_place").select(F.col("print").alias("seen"))
+    again = saved(rows.join(seen, F.col("print") == F.col("seen"), "left_semi").select("number", "key", "stretch", "least", "size"))
+    place = F.struct(F.col("number").isNotNull().alias("named"), "number", "key", F.col("least").alias("at"))
+    first = again.groupBy("stretch").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select(F.col("stretch").alias("same"), F.col("first.key").alias("first_key"), F.col("first.at").alias("first_at"))
+    later = again.join(first, (F.col("stretch") == F.col("same")) & ~((F.col("key") == F.col("first_key")) & (F.col("least") == F.col("first_at"))))
+    gone = later.select("key", F.explode(F.sequence(F.col("least"), F.col("least") + F.col("size") - 1)).alias("at")).distinct()
+    masks = saved(gone.groupBy(F.col("key").alias("cut")).agg(F.sort_array(F.collect_list("at")).alias("mask")))
 
     columns = docs.columns
     whole = docs.withColumn("_key", F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     met = whole.join(masks, F.col("_key") == F.col("cut"), "left")
     parts = met.select(*columns, "mask", F.when(F.col("mask").isNotNull(), F.split(F.col(text_col), "\n", -1)).alias("_lines"))
     parts = parts.withColumn("_full", F.expr(f"filter(transform(_lines, (x, i) -> if({HAS_WORD}, i, null)), i -> i is not null)"))
-    parts = parts.withColumn("_drop", F.expr("filter(transform(_full, (x, i) -> if(mask[i], x, null)), x -> x is not null)"))
+    parts = parts.withColumn("_drop", F.expr("transform(mask, i -> get(_full, i))"))
     between = "slice(_lines, coalesce(get(_drop, j - 1), -1) + 2, coalesce(get(_drop, j), size(_lines)) - coalesce(get(_drop, j - 1), -1) - 1)"
     parts = parts.withColumn("_kept", F.expr(f"if(size(_drop) = size(_full), null, array_join(flatten(transform(sequence(0, size(_drop)), j -> {between})), '\\n'))"))
     new = F.expr(f"explode(case when mask is null then array(`{text_col}`) when _kept is not null then array(_kept) else array() end)")

@@ -178,6 +178,41 @@ def test_lines_repeated_rows(spark):
     assert got == [(0, "n\n" + long_line(5)), (2, "b"), (2, "b"), (3, "c")]
 
 
+def lines_brute(rows, words):
+    """The texts without the lines of all runs of the words or more that an earlier place has; None if no line is left."""
+    docs = {i: t.split("\n") for i, t in rows}
+    seen, out = set(), {}
+    for i in sorted(docs):
+        full = [k for k, x in enumerate(docs[i]) if WORD.search(x)]
+        gone = set()
+        for a in range(len(full)):
+            n = 0
+            for b in range(a, len(full)):
+                n += len(WORD.findall(docs[i][full[b]]))
+                run = tuple(docs[i][k] for k in full[a : b + 1])
+                if n >= words:
+                    if run in seen:
+                        gone |= set(full[a : b + 1])
+                    seen.add(run)
+        out[i] = None if full and len(gone) == len(full) else "\n".join(x for k, x in enumerate(docs[i]) if k not in gone)
+    return out
+
+
+def test_lines_against_brute_force_over_all_runs(spark):
+    line = lambda k, n: " ".join(f"{k}c{i}" for i in range(n))
+    passage = [line("a", 20), line("b", 20), line("L", 25), line("c", 20), line("d", 20)]
+    rows = [(1, "\n".join([line("x", 15), passage[2], line("y", 15)]))]
+    rows += [(i, "\n".join([f"s{i}", *passage, f"e{i}"])) for i in range(2, 12)]
+    rows.append((12, "\n".join([passage[2], "once", *passage, "z", *passage])))
+    rng = random.Random(8)
+    pool = [line(f"p{k}", rng.choice([1, 3, 10, 18, 30, 55])) for k in range(8)] + ["", " "]
+    rows += [(100 + i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 16)))) for i in range(150)]
+    got = {i: r.text for i, r in dedup(spark, rows).items()}
+    want = lines_brute(rows, 50)
+    assert got == {i: t for i, t in want.items() if t is not None}
+    assert all(got[i] == f"s{i}\ne{i}" for i in range(3, 12)) and got[2] == rows[1][1]
+
+
 def labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
