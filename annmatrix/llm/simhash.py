@@ -25,11 +25,11 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0).view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
 
 
-def fingerprint(text: str, size: int = 4) -> int:
-    """The SimHash of a text's shingles of size words as a signed 64-bit integer; 0 without words."""
+def shingle_hashes(text: str, size: int):
+    """Arrays of the hashes of a text's shingles of size words, in order; the one of all words of a shorter text, none without words."""
     digest = xxhash.xxh64_intdigest
     data = text.encode().translate(LOWER)
-    counts, total, carry, at = np.zeros(64, np.int64), 0, [], 0
+    any_yet, carry, at = False, [], 0
     while at < len(data):
         to = len(data)
         if to - at > BLOCK:
@@ -42,15 +42,22 @@ def fingerprint(text: str, size: int = 4) -> int:
             length = np.fromiter(map(len, words), np.int64, len(words))
             ends = np.cumsum(length + 1) - 1
             starts = (ends - length)[: len(words) - size + 1].tolist()
-            hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)], np.uint64)
-            counts += bit_counts(hashes)
-            total += len(hashes)
+            yield np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)], np.uint64)
+            any_yet = True
             words = words[len(words) - size + 1 :]
         carry = words
+    if carry and not any_yet:
+        yield np.array([digest(b" ".join(carry), 42)], np.uint64)
+
+
+def fingerprint(text: str, size: int = 4) -> int:
+    """The SimHash of a text's shingles of size words as a signed 64-bit integer; 0 without words."""
+    counts, total = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, size):
+        counts += bit_counts(hashes)
+        total += len(hashes)
     if not total:
-        if not carry:
-            return 0
-        counts, total = bit_counts(np.array([digest(b" ".join(carry), 42)], np.uint64)), 1
+        return 0
     return int(np.packbits((2 * counts > total).astype(np.uint8), bitorder="little").view(np.int64)[0])
 
 

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from annmatrix.llm import components, line_dedup, quality, simhash, toxicity
+from annmatrix.llm import components, line_dedup, near_dedup, quality, simhash, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id long, fp long, key string, g string"
@@ -213,6 +213,51 @@ def test_lines_against_brute_force_over_all_runs(spark):
     assert all(got[i] == f"s{i}\ne{i}" for i in range(3, 12)) and got[2] == rows[1][1]
 
 
+def similar_brute(rows, similarity=0.8, size=5):
+    """The least id of each component of the texts (id, text)."""
+    grams = {}
+    for i, t in rows:
+        w = t.split()
+        grams[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+    root = {i: i for i in grams}
+    for a, b in itertools.combinations(sorted(grams), 2):
+        if grams[a] == grams[b] or len(grams[a] & grams[b]) >= similarity * len(grams[a] | grams[b]):
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    return sorted(set(root.values()))
+
+
+def test_stage_catches_near_copies_of_similarity_from_0_8(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    rows = []
+    for k in range(60):
+        words = [f"g{k}w{i}" for i in range(150)]
+        rows.append((10 * k, " ".join(words)))
+        for j, edits in enumerate((1, 2, 3), 1):  # similarity of about 0.93, 0.87 and 0.82
+            copy = words[:]
+            for at in rng.sample(range(5, 145), edits):
+                copy[at] = f"e{rng.random()}"
+            rows.append((10 * k + j, " ".join(copy)))
+        rows.append((10 * k + 9, " ".join(words[:75]) + " " + " ".join(f"o{k}w{i}" for i in range(75))))
+    kept = pipeline.keep_one_of_near_duplicates(spark, table(spark, rows), "")
+    assert kept.columns == table(spark, []).columns
+    assert sorted(r.doc_id for r in kept.collect()) == similar_brute(rows)
+
+
+def test_one_row_of_each_component_stays_whatever_the_ids(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(5, one), (1, one), (5, two), (5, two), (None, two), (None, three), (None, three), (7, None), (8, ""), (5, three + " end")]
+    kept = near_dedup.drop_similar(table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, one), (5, two), (5, three + " end"), (7, None)])
+    assert near_dedup.drop_similar(table(spark, [])).count() == 0
+    # a cloud whose members are linked through others only
+    words = [f"w{i}" for i in range(200)]
+    chain = [(i, " ".join([f"n{k}" for k in range(3 * i)] + words[3 * i :])) for i in range(30)]
+    kept = near_dedup.drop_similar(table(spark, chain)).collect()
+    assert [r.doc_id for r in kept] == similar_brute(chain) == [0]
+
+
 def labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
