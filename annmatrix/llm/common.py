@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import pyarrow as pa
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: The setting that lets Spark delete checkpoints out of use.
+CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
+
 def tokenizer_path(name: str) -> str:
     """Where the file of a public tokenizer lies on this machine."""
     import public_tokenizers
@@ -26,12 +31,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, which all machines share.
 
-    Only where that setting is absent, as in tests on one machine, a folder is made.
+    Only on one machine, as in tests, a folder is made where that setting is absent; on a cluster that is an error.
+    Checkpoints that nothing refers to any more are deleted, unless the session's configuration says otherwise.
     """
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
-    return context._jsc.sc().getCheckpointDir().get()
+    live = context._jsc.sc()
+    if live.getCheckpointDir().isEmpty():
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
+    if not live.conf().contains(CLEAN):
+        live.conf().set(CLEAN, "true")
+    return live.getCheckpointDir().get()
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -40,6 +52,11 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def boxed(df: DataFrame, **more: Column) -> DataFrame:
+    """All columns of df as the one column row, and more beside it, so that no name of theirs can clash; box.row.* unpacks it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
 def literal(text: str) -> str:
     """An SQL string literal."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"

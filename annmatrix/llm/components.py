@@ -9,8 +9,10 @@ from .common import saved
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of links(a long, b long); root is the least node of its component.
+    """(node, root) for every node of links(a, b); root is the least node of its component.
 
+    Nodes are of any type with an order, structs too: naming them by what the least
+    one shall tell saves a join of all members with their root.
     Each round links every node's larger neighbours to its least one (large
     star), then its smaller ones (small star).  The links end as stars around the roots,
     after rounds that grow with the logarithm of the number of nodes squared at

@@ -55,33 +55,38 @@ def test_simhash_against_brute_force(spark, monkeypatch):
                 label[a] = label[b] = min(label[a], label[b])
                 changed = True
     assert {i: r.component_id for i, r in got.items()} == label
-    kept = simhash.drop_near_duplicates(table(spark, rows), size=4)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label.values())) and kept.columns == table(spark, []).columns
+    monkeypatch.setattr(simhash, "SHORT_KEYS", 0)
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, rows)).collect()} == label
 
 
-@pytest.mark.parametrize("distance", [1, 2, 3, 4, 5, 7])
-def test_links_are_complete_and_single(spark, distance):
+@pytest.mark.parametrize(("distance", "together"), [(1, 1), (4, 1), (4, 2)])
+def test_links_are_complete_and_single(spark, distance, together):
     rng = np.random.default_rng(distance)
-    centers = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    centers = rng.integers(0, 1 << 63, 8, dtype=np.uint64)
     prints = set()
     for c in centers:
-        for _ in range(25):
+        for _ in range(20):
             flips = rng.choice(64, rng.integers(0, 6), replace=False)
             prints.add(int(np.int64(np.uint64(int(c) ^ sum(1 << int(b) for b in flips)).astype(np.int64))))
     prints |= {0, -1, 1, 1 << 62}
-    found = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), distance).collect()
+    table = spark.createDataFrame([(p,) for p in prints], "fp long")
+    found = simhash.links(table, distance, together).collect()
     want = {(a, b) for a, b in itertools.combinations(sorted(prints), 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= distance}
     assert len(found) == len(want) and {tuple(r) for r in found} == want
+    stars = {tuple(r) for r in simhash.star_links(table, distance, together).collect()}
+    assert stars <= want
+    same = table.withColumn("root", F.pmod("fp", F.lit(2)))
+    assert {tuple(r) for r in simhash.links(same, distance, together).collect()} == {(a, b) for a, b in want if (a - b) % 2}
+    assert all(sum(n for _, n in key) <= simhash.PACKED for key in simhash.keys(distance, together))
 
 
 def test_simhash_odd_tables(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
-    assert simhash.drop_near_duplicates(table(spark, [])).count() == 0
     odd = table(spark, [(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (None, "z")])
     rows = collections.Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(odd).collect())
     assert rows == {(None, 3): 1, (None, None): 1, (3, 3): 2}
-    kept = simhash.drop_near_duplicates(odd).collect()
-    assert sorted(r.doc_id or -1 for r in kept) == [-1, -1, 3]
+    cloud = table(spark, [(i, " ".join(["same"] * 40 + [f"end{i}"])) for i in range(60)])
+    assert {r.component_id for r in simhash.near_duplicates(cloud).collect()} == {0}
 
 
 def test_components_against_union_find(spark):
