@@ -1,19 +1,26 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five small transducers read a clause word by word: insult (a lexicon of words
-and stems with weights, learned from labelled documents), threat, target,
-negation and reported speech (closed word lists).  Their product is one
-automaton, whose state remembers what the clause has shown so far, and whose final
-weight makes the clause one of the kinds in KINDS.  A document's score is a logistic
+The words of a clause become symbols: insult (a lexicon of words and stems with weights, learned
+from labelled documents), threat, target, negation, report (closed word lists) and other.
+Five transducers read them in a row, each what the one before it writes:
+
+* negation writes denied for insults among the next few words, and other for threats there;
+* report writes quoted for insults after a verb of saying, and other for threats there;
+* insult remembers the gravest of insult, denied and quoted; threat and target whether there was one.
+
+Their composition is compiled to one transition table.  Its final state gives a clause one of the KINDS, or none,
+and the clause's one weight is that of the heaviest word that counts for it.  A document's score is a logistic
 function of what its clauses add up to by kind.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,13 +41,94 @@ INSULTS = {w: 2.0 for w in "idiot moron stupid loser worthless pathetic scum tra
 KINDS = ("insult", "targeted", "negated", "reported", "threat")
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
-#: Characters of a clause that are read on each side of a match.
-REACH = 240
 STEM = 3, 12
 #: Evidence that a learned entry needs.
 LEAST = 40.0
-#: Contexts of a form that a task sends, more than evidence ever takes.
-CONTEXTS = 500
+#: Words that a negation governs.
+SCOPE = 3
+
+SYMBOLS = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, DENIED, QUOTED = range(8)
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """steps[state][symbol] is (next state, symbol that is written); state 0 is the first."""
+
+    steps: tuple[tuple[tuple[int, int], ...], ...]
+
+    @classmethod
+    def of(cls, states: int, rule: Callable[[int, int], tuple[int, int]]) -> Transducer:
+        return cls(tuple(tuple(rule(q, c) for c in SYMBOLS) for q in range(states)))
+
+    def run(self, symbols: Iterable[int]) -> tuple[int, list[int]]:
+        state, written = 0, []
+        for c in symbols:
+            state, out = self.steps[state][c]
+            written.append(out)
+        return state, written
+
+
+def negation_rule(left: int, c: int) -> tuple[int, int]:
+    """State: how many of the next words are denied."""
+    if c == NEGATION:
+        return SCOPE, c
+    return max(0, left - 1), {INSULT: DENIED, THREAT: OTHER}.get(c, c) if left else c
+
+
+def report_rule(said: int, c: int) -> tuple[int, int]:
+    """State: whether a verb of saying has come."""
+    return int(said or c == REPORT), {INSULT: QUOTED, THREAT: OTHER}.get(c, c) if said else c
+
+
+#: What the insult transducer remembers, by gravity.
+GRAVITY = (None, QUOTED, DENIED, INSULT)
+
+
+def insult_rule(gravest: int, c: int) -> tuple[int, int]:
+    return max(gravest, GRAVITY.index(c) if c in GRAVITY[1:] else 0), c
+
+
+PARTS = (
+    Transducer.of(SCOPE + 1, negation_rule),
+    Transducer.of(2, report_rule),
+    Transducer.of(len(GRAVITY), insult_rule),
+    Transducer.of(2, lambda q, c: (int(q or c == THREAT), c)),
+    Transducer.of(2, lambda q, c: (int(q or c == TARGET), c)),
+)
+
+
+def composed(parts: Sequence[Transducer]) -> tuple[Transducer, list[tuple[int, ...]]]:
+    """One transducer that does what the parts do one after the other, and the parts' states in each of its states."""
+    names = [(0,) * len(parts)]
+    number = {names[0]: 0}
+    steps = []
+    for name in names:  # grows
+        row = []
+        for c in SYMBOLS:
+            to, out = [], c
+            for part, state in zip(parts, name, strict=True):
+                state, out = part.steps[state][out]
+                to.append(state)
+            if tuple(to) not in number:
+                number[tuple(to)] = len(names)
+                names.append(tuple(to))
+            row.append((number[tuple(to)], out))
+        steps.append(tuple(row))
+    return Transducer(tuple(steps)), names
+
+
+def final_kind(states: tuple[int, ...]) -> tuple[str, int] | None:
+    """The kind of a clause that ends in the parts' states, and the symbol whose heaviest word weighs it."""
+    _, _, gravest, threat, target = states
+    if GRAVITY[gravest] == INSULT:
+        return ("targeted" if target else "insult"), INSULT
+    if threat and target:
+        return "threat", THREAT
+    return {DENIED: ("negated", DENIED), QUOTED: ("reported", QUOTED)}.get(GRAVITY[gravest])
+
+
+PRODUCT, STATES = composed(PARTS)
+FINALS = [final_kind(s) for s in STATES]
 
 
 @dataclass
@@ -55,60 +143,65 @@ class Grammar:
 
 
 class Clauses:
-    """The grammar's automata, ready to read texts."""
+    """The grammar, ready to read texts."""
 
     def __init__(self, grammar: Grammar):
         import ahocorasick
 
         self.weights = grammar.weights
+        closed = ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT))
+        self.words = {w: (symbol, 1.0) for group, symbol in closed for w in group}
+        self.words |= {e: (INSULT, w) for e, w in grammar.lexicon.items() if not e.endswith("*")}
+        self.stems = {e[:-1]: w for e, w in grammar.lexicon.items() if e.endswith("*") and len(e) > 1}
+        self.lengths = sorted({len(e) for e in self.stems}, reverse=True)
+        # only finds the clauses that can be accepted; which are is up to the transducers
         self.find = ahocorasick.Automaton()
-        for entry, weight in grammar.lexicon.items():
-            word = entry.rstrip("*")
+        for word in (*self.stems, *(w for w, (symbol, _) in self.words.items() if symbol in (INSULT, THREAT))):
             if word:
-                self.find.add_word(word, (len(word), entry.endswith("*"), "insult", weight))
-        for word in THREATS:
-            if word not in self.find:
-                self.find.add_word(word, (len(word), False, "threat", 1.0))
+                self.find.add_word(word, len(word))
         self.find.make_automaton()
-        self.classes = dict.fromkeys(TARGETS, "target") | dict.fromkeys(NEGATIONS, "negation") | dict.fromkeys(REPORTS, "report")
 
-    def matches(self, low: str):
-        """(start, end, kind, weight) of the words that the insult and threat transducers accept."""
-        for last, (length, stem, kind, weight) in self.find.iter(low):
-            start, end = last - length + 1, last + 1
-            if (start and low[start - 1].isalpha()) or (not stem and end < len(low) and low[end].isalpha()):
+    def symbol(self, word: str) -> tuple[int, float]:
+        """What a word counts as, and its weight: by the whole word, by what stands before an apostrophe, by the longest stem."""
+        found = self.words.get(word)
+        if found is None and not word.isalpha():
+            found = self.words.get(re.split("['’]", word, maxsplit=1)[0])
+        if found is None:
+            stem = next((word[:n] for n in self.lengths if word[:n] in self.stems), None)
+            found = (OTHER, 0.0) if stem is None else (INSULT, self.stems[stem])
+        return found
+
+    def clauses(self, low: str) -> Iterator[str]:
+        """The whole clauses that have an insult or a threat, each once, in order."""
+        ends: Iterator[re.Match] | None = None
+        start, end = 0, -1
+        for last, length in self.find.iter(low):
+            at = last - length + 1
+            if at < end or (at and low[at - 1].isalpha()):
                 continue
-            yield start, end, kind, weight
-
-    def clause_kind(self, low: str, start: int, end: int, kind: str) -> str | None:
-        """The final state of the product automaton on the clause around a match."""
-        left, right = max(0, start - REACH), min(len(low), end + REACH)
-        ends = [m.end() for m in CLAUSE_END.finditer(low, left, start)]
-        left = ends[-1] if ends else left
-        stop = CLAUSE_END.search(low, end, right)
-        right = stop.start() if stop else right
-        target = negated = reported = False
-        for word in WORDS.finditer(low, left, right):
-            c = self.classes.get(word[0])
-            if c == "target":
-                target = True
-            elif c == "negation" and word.end() <= start and len(WORDS.findall(low, word.end(), start)) <= 2:
-                negated = True  # negation governs the next few words only
-            elif c == "report" and word.end() <= start:
-                reported = True
-        if kind == "threat":
-            return "threat" if target and not negated and not reported else None
-        return "negated" if negated else "reported" if reported else "targeted" if target else "insult"
+            ends = ends or CLAUSE_END.finditer(low)
+            while end < at:
+                start, stop = end + 1, next(ends, None)
+                end = stop.start() if stop else len(low)
+            yield low[start:end]
+
+    def weigh(self, clause: str) -> tuple[str, float] | None:
+        """The kind and weight of an accepted clause."""
+        state, heaviest = 0, [0.0] * len(SYMBOLS)
+        for word in WORDS.finditer(clause):
+            symbol, weight = self.symbol(word[0])
+            state, out = PRODUCT.steps[state][symbol]
+            if weight > heaviest[out]:
+                heaviest[out] = weight
+        found = FINALS[state]
+        return found and (found[0], heaviest[found[1]])
 
     def sums(self, text: str) -> np.ndarray:
-        """What the matched clauses of a text add up to, by kind, on a scale that flattens out."""
-        low = text.lower()
+        """What the accepted clauses of a text add up to, by kind, on a scale that flattens out."""
         out = np.zeros(len(KINDS))
-        if low:
-            for start, end, kind, weight in self.matches(low):
-                found = self.clause_kind(low, start, end, kind)
-                if found:
-                    out[KINDS.index(found)] += weight
+        for clause in self.clauses(text.lower()) if text else ():
+            if found := self.weigh(clause):
+                out[KINDS.index(found[0])] += found[1]
         return np.log1p(out)
 
     def score(self, sums: np.ndarray) -> float:
@@ -116,13 +209,9 @@ class Clauses:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 
 
-def stems(text: str) -> set[str]:
-    """The words of a text (with a $ after each) and their prefixes."""
-    out = set()
-    for w in set(WORDS.findall(text.lower())):
-        out.add(w + "$")
-        out.update(w[:k] for k in range(STEM[0], min(len(w), STEM[1]) + 1))
-    return out
+def word_forms(word: str) -> list[str]:
+    """A word with a $ after it, and its prefixes."""
+    return [word + "$", *(word[:k] for k in range(STEM[0], min(len(word), STEM[1]) + 1))]
 
 
 def evidence(p: int, n: int, share: float) -> float:
@@ -131,7 +220,7 @@ def evidence(p: int, n: int, share: float) -> float:
     return 2 * sum(x * math.log(x / (total * part)) for x, part in ((p, share), (n, 1 - share)) if x)
 
 
-def choose_lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, least: float = 40.0, most: int = 4000) -> dict[str, float]:
+def choose_lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, least: float = LEAST) -> dict[str, float]:
     """Entries from (word$ or prefix, contexts in toxic documents, clean documents with it).
 
     Forms whose evidence reaches least, enough for a chance in a million forms, stand for toxicity.
@@ -164,8 +253,7 @@ def choose_lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, l
     for form in sorted(odds):
         if form[:-1] not in odds:
             follow(form)
-    best = sorted(out.items(), key=lambda e: (-e[1][0], e[0]))[:most]
-    return INSULTS | {w: weight for w, (_, weight) in best}
+    return INSULTS | {w: weight for w, (_, weight) in sorted(out.items())}
 
 
 def fit_weights(sums: np.ndarray, toxic: np.ndarray) -> dict[str, float]:
@@ -211,52 +299,65 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows
     """The lexicon and weights from at most toxic_rows and clean_rows labelled documents that aren't held out.
 
     Those bounds are what training reads of any corpus.  The sample's texts stay on
-    the executors.  A first pass counts the toxic documents of each word and prefix;
-    a second counts, for those in enough of them, the clean documents and the different
-    contexts (the words on both sides) in toxic ones, so that copies of a document count once.
+    the executors.  A first pass counts the occurrences of each word and prefix in toxic documents;
+    a second counts, for those with enough of them, the clean documents; a third, for those rare
+    enough there, the different contexts (the words on both sides) in toxic ones, so that copies of a document count once.
     Then the kinds' weights are fitted.  Without labels of both kinds the grammar's own lists are used.
+    Of rows that share an id one text is read.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64(F.lit(13), "doc_id"), "doc_id"]
     few = known.where("toxic = 1").orderBy(*order).limit(toxic_rows).union(known.where("toxic = 0").orderBy(*order).limit(clean_rows))
     few = few.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
-    sample = docs.select(F.col("doc_id"), text_of().alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("text", "_toxic").persist()
+    rows = docs.select(F.col("doc_id"), text_of().alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("_id"))
+    # a given number of partitions: as few as the bytes ask for would leave most cores without work
+    rows = rows.repartition(max(32, docs.sparkSession.sparkContext.defaultParallelism), "_id")
+    sample = rows.groupBy("_id", "_toxic").agg(F.min("text").alias("text")).select("text", "_toxic").persist()
     sizes = {r[0]: r[1] for r in sample.groupBy("_toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    support = max(3, toxic // 400)
+    # fewer occurrences than this can't reach the evidence, were all of them contexts in toxic documents
+    support = max(3, math.ceil(LEAST / (2 * math.log((toxic + clean) / toxic)))) if toxic and clean else 3
 
-    def forms():
+    def uses_of():
         def each(cols):
-            seen = Counter(f for text in cols["text"].to_pylist() for f in stems(text))
-            return {"form": list(seen), "p": list(seen.values())}
+            words = Counter(w for text in cols["text"].to_pylist() for w in WORDS.findall(text.lower()))
+            seen: Counter = Counter()
+            for w, n in words.items():
+                for f in word_forms(w):
+                    seen[f] += n
+            return {"form": list(seen), "n": list(seen.values())}
 
         return each
 
-    often = map_arrow(sample.where("_toxic = 1").select("text"), forms, "form string, p long").groupBy("form").agg(F.sum("p").alias("p"))
-    candidates = frozenset(r.form for r in often.where(F.col("p") >= support).collect())
+    def documents_with():
+        forms = functools.cache(lambda w: [f for f in word_forms(w) if f in uses])
 
-    def weigh():
         def each(cols):
-            seen: dict[str, tuple[set[int], list[int]]] = {}
-            for text, toxic in zip(cols["text"].to_pylist(), cols["_toxic"].to_pylist(), strict=True):
-                if not toxic:
-                    for f in stems(text) & candidates:
-                        seen.setdefault(f, (set(), [0]))[1][0] += 1
-                    continue
+            seen = Counter(f for text in cols["text"].to_pylist() for f in {f for w in set(WORDS.findall(text.lower())) for f in forms(w)})
+            return {"form": list(seen), "n": list(seen.values())}
+
+        return each
+
+    counted = lambda which, make: map_arrow(sample.where(f"_toxic = {which}").select("text"), make, "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
+    uses = {r.form: r.n for r in counted(1, uses_of).where(F.col("n") >= support).collect()}
+    in_clean = {r.form: r.n for r in counted(0, documents_with).collect()}
+    rare = frozenset(f for f, n in uses.items() if in_clean.get(f, 0) <= 0.05 * n)  # contexts are no more than occurrences
+
+    def around():
+        forms = functools.cache(lambda w: [f for f in word_forms(w) if f in rare])
+
+        def each(cols):
+            seen = set()
+            for text in cols["text"].to_pylist():
                 words = WORDS.findall(text.lower())
-                for i, w in enumerate(words):
-                    for f in (w + "$", *(w[:k] for k in range(STEM[0], min(len(w), STEM[1]) + 1))):
-                        if f in candidates:
-                            around = seen.setdefault(f, (set(), [0]))[0]
-                            if len(around) < CONTEXTS:
-                                around.add(context(words, i))
-            return {"form": list(seen), "around": [sorted(v[0]) for v in seen.values()], "clean": [v[1][0] for v in seen.values()]}
+                seen |= {(f, context(words, i)) for i, w in enumerate(words) for f in forms(w)}
+            return {"form": [f for f, _ in seen], "at": [c for _, c in seen]}
 
         return each
 
-    counted = map_arrow(sample, weigh, "form string, around array<long>, clean long").groupBy("form").agg(F.size(F.array_distinct(F.flatten(F.collect_list("around")))).alias("p"), F.sum("clean").alias("n"))
-    rows = sorted(tuple(r) for r in counted.where("n <= 0.05 * p").collect())
-    grammar = Grammar(lexicon=choose_lexicon(rows, toxic, clean, LEAST))
+    contexts = map_arrow(sample.where("_toxic = 1").select("text"), around, "form string, at long").groupBy("form").agg(F.countDistinct("at").alias("p")).collect()
+    rows = sorted((r.form, r.p, in_clean.get(r.form, 0)) for r in contexts if in_clean.get(r.form, 0) <= 0.05 * r.p)
+    grammar = Grammar(lexicon=choose_lexicon(rows, toxic, clean))
 
     def add_up():
         clauses = grammar.compile()
@@ -278,8 +379,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows
 def score_documents(docs: DataFrame, grammar: Grammar, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text.
 
-    Null and empty texts get the score of a text without matches.  Repeated
-    rows give repeated results, rows without an id count as not held out, an empty table gives an
+    Null and empty texts get the score of a text without accepted clauses; very long texts and
+    clauses are read whole, in time that grows with their length.  Repeated rows give repeated results, rows without an id count as not held out, an empty table gives an
     empty one; further columns are not read.
     """
 
@@ -297,7 +398,11 @@ def score_documents(docs: DataFrame, grammar: Grammar, threshold: float = 0.7, i
 
 
 def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows and columns of docs whose text scores below threshold, in one pass without a shuffle."""
+    """The rows and columns of docs whose text scores below threshold, in one pass without a shuffle.
+
+    Null and empty texts stay if a text without accepted clauses scores below it; repeated rows are treated
+    alike, an empty table gives an empty one, other columns pass through untouched.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):

@@ -290,18 +290,78 @@ def test_toxicity_finds_held_out_documents(spark):
     assert toxicity.drop_toxic(docs, grammar).columns == docs.columns
 
 
-def test_toxicity_grammar_and_odd_tables(spark):
+def kinds(text):
+    clauses = toxicity.Grammar().compile()
+    return [found and found[0] for found in map(clauses.weigh, clauses.clauses(text.lower()))]
+
+
+def test_toxicity_clauses():
+    assert kinds("you are an idiot.") == ["targeted"]
+    assert kinds("he is not an idiot") == kinds("he isn't an idiot") == ["negated"]
+    assert kinds("the paper said that the minister wrote idiot") == ["reported"]
+    assert kinds("idiotic. what an idiot") == [None, "insult"] and kinds("what an idiot's job") == ["insult"]
+    assert kinds("i will kill you") == ["threat"] and kinds("to kill time") == [None]
+    assert kinds("i said i will kill you") == kinds("i will not kill you") == [None]
+    assert kinds("not here. idiot") == ["insult"] and kinds("not one two three idiot") == ["insult"]
+    # one weight a clause, however often and however far apart its words are
+    filler = "word " * 10_000
+    assert kinds("idiot " * 5) == ["insult"] and kinds(f"you are, {filler} an idiot") == ["targeted"]
+    assert kinds(f"she said that he is, {filler} an idiot {filler}") == ["reported"]
+    clauses = toxicity.Grammar().compile()
+    assert clauses.sums("idiot " * 5).tolist() == clauses.sums("idiot").tolist()
+
+
+def test_toxicity_product_equals_its_parts():
+    rng = random.Random(11)
+    for _ in range(400):
+        word = [rng.choice(toxicity.SYMBOLS[:6]) for _ in range(rng.randrange(12))]
+        state, written = toxicity.PRODUCT.run(word)
+        at, now = [], word
+        for part in toxicity.PARTS:
+            end, now = part.run(now)
+            at.append(end)
+        assert toxicity.STATES[state] == tuple(at) and written == now
+    assert len(toxicity.STATES) <= 4 * 2 * 4 * 2 * 2
+
+
+def clause_brute(grammar, clause):
+    """The kind and weight of a clause, from the docstring's words."""
+    symbols = [grammar.symbol(w[0]) for w in toxicity.WORDS.finditer(clause)]
+    names = [s for s, _ in symbols]
+    real, denied, quoted, threats = [], [], [], []
+    for i, (s, w) in enumerate(symbols):
+        no = toxicity.NEGATION in names[max(0, i - toxicity.SCOPE) : i]
+        said = toxicity.REPORT in names[:i]
+        if s == toxicity.INSULT:
+            (denied if no else quoted if said else real).append(w)
+        elif s == toxicity.THREAT and not no and not said:
+            threats.append(w)
+    target = toxicity.TARGET in names
+    if real:
+        return ("targeted" if target else "insult"), max(real)
+    if threats and target:
+        return "threat", max(threats)
+    return ("negated", max(denied)) if denied else ("reported", max(quoted)) if quoted else None
+
+
+def test_toxicity_scores_against_brute_force():
+    rng = random.Random(12)
+    made = toxicity.Grammar(lexicon=toxicity.INSULTS | {"grum*": 1.25, "grumf": 3.0, "blarg": 0.5, "ß*": 1.0}).compile()
+    pool = ["idiot", "Idiot's", "you", "not", "isn’t", "said", "kill", "grumble", "grumf", "ablarg", "blarg", "tale", "İx", "ßen", "a1idiot", ".", "!", ";", "\n", ","]
+    for _ in range(600):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randrange(30)))
+        want = np.zeros(len(toxicity.KINDS))
+        for clause in toxicity.CLAUSE_END.split(text.lower()):
+            if found := clause_brute(made, clause):
+                want[toxicity.KINDS.index(found[0])] += found[1]
+        np.testing.assert_allclose(made.sums(text), np.log1p(want))
+
+
+def test_toxicity_odd_tables(spark):
     clauses = toxicity.Grammar().compile()
-    kind = lambda t: [clauses.clause_kind(t, s, e, k) for s, e, k, _ in clauses.matches(t)]
-    assert kind("you are an idiot.") == ["targeted"]
-    assert kind("he is not an idiot") == ["negated"]
-    assert kind("the paper said that they wrote idiot") == ["reported"]
-    assert kind("idiotic. what an idiot") == ["insult"]
-    assert kind("i will kill you") == ["threat"] and kind("to kill time") == [None]
-    assert kind("not here. idiot") == ["insult"]
     high, low = (clauses.score(clauses.sums(t)) for t in ("You idiot! You moron, you are worthless trash.", "he said it"))
     assert high > 0.7 > 0.3 > low
-    odd = table(spark, [(None, None), (1, ""), (1, ""), (2, "idiot " * 200_000)])
+    odd = table(spark, [(None, None), (1, ""), (1, ""), (2, "You idiot! " * 100_000)])
     grammar = toxicity.train(odd, labels(spark, []))
     got = toxicity.score_documents(odd, grammar).collect()
     assert len(got) == 4 and [r.predicted for r in got] == [0, 0, 0, 1] and all(0 <= r.score <= 1 for r in got)
