@@ -208,11 +208,25 @@ def test_search_against_brute_force(spark, monkeypatch, block):
     rows += [(100, rows[100][1]), (7, rows[50][1])]
     monkeypatch.setattr(topk, "BLOCK", block)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 4 if block == 37 else 4096)
-    for pivots in (1, 16):
+    for pivots in (1, None):
         got = topk.top_k(vectors(spark, rows), pivots=pivots).collect()
         assert sorted(map(tuple, got)) == search_brute(rows)
 
 
+def test_search_copies_only_what_is_in_reach(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centers = np.eye(40)
+    rows = [(i, (centers[i % 40 if i % 50 else i // 50 % 40] + rng.normal(size=40) * 0.01).tolist()) for i in range(4000)]
+    monkeypatch.setattr(topk, "BLOCK", 100)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    made = topk.plan(topk.saved(topk.quantize(vectors(spark, rows), 256.0, "vec_id", "embedding")), 5, 50, 300)
+    blocks = made.queries.select("block").distinct().count()
+    assert blocks >= 20 and made.data.count() < 0.15 * blocks * len(rows)
+    pairs = made.queries.groupBy("block", "piece").count().join(made.data.groupBy("block", "piece").agg(F.count(F.lit(1)).alias("n")), ["block", "piece"]).agg(F.sum(F.col("count") * F.col("n"))).first()[0]
+    assert pairs < 0.15 * 80 * len(rows)
+    assert sorted(map(tuple, topk.top_k(vectors(spark, rows)).collect())) == search_brute(rows)
+
+
 def test_search_odd_tables(spark):
     assert topk.top_k(vectors(spark, [])).count() == 0
     assert topk.top_k(vectors(spark, [(50, [1.0])])).count() == 0
@@ -220,6 +234,11 @@ def test_search_odd_tables(spark):
     assert sorted(map(tuple, topk.top_k(vectors(spark, few)).collect())) == search_brute(few)
     huge = [(50, [3e6, 1.0]), (51, [3e6, 0.5]), (52, [2e6, 1.0])]
     assert sorted(map(tuple, topk.top_k(vectors(spark, huge)).collect())) == search_brute(huge)
+    beyond = [(50, [1e30, 1.0]), (51, [1e30, 0.5]), (52, [-3e38, 1.0]), (53, [0.0, 2.0])]
+    want = [(50, 1, 51, (1 << 63) - 1), (50, 2, 53, 256 * 512), (50, 3, 52, -(1 << 63))]
+    assert sorted(map(tuple, topk.top_k(vectors(spark, beyond)).collect())) == want
+    most = spark.createDataFrame([(50, [1.7e308]), (51, [1.7e308]), (1, [1.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(most).orderBy("rank").collect()] == [(1, (1 << 63) - 1), (51, (1 << 63) - 1)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
