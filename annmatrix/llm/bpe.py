@@ -23,6 +23,7 @@ token of each shorter prefix.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import unicodedata
 
@@ -337,6 +338,8 @@ class Tokenizer:
         suffix = model.get("end_of_word_suffix") or ""
         self.words = MergeTransducer(model["vocab"], model["merges"], suffix)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # of those that start at a place the longest counts
+        self.find_special = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)))
         kinds = [n["type"] for n in ((spec.get("normalizer") or {}).get("normalizers") or [])]
         self.normal = "Lowercase" in kinds
         self.join_space = not self.normal
@@ -368,14 +371,11 @@ class Tokenizer:
 
     def segments(self, text: str):
         """The parts of a text between special strings: (part, the special string's id after it or -1)."""
-        rest = text
-        while self.special:
-            found = min(((p, -len(s), s) for s in self.special if (p := rest.find(s)) >= 0), default=None)
-            if not found:
-                break
-            p, _, s = found
-            yield rest[:p], self.special[s]
-            rest = rest[p + len(s) :]
+        at = 0
+        for found in self.find_special.finditer(text) if self.special else ():
+            yield text[at : found.start()], self.special[found[0]]
+            at = found.end()
+        rest = text[at:]
         start = 0
         while len(rest) - start > BLOCK:  # cut where a word starts whatever came before: at white space after something else
             cut = next((k for k in range(start + BLOCK // 2, len(rest)) if rest[k] in " \n" and rest[k - 1] not in " \n\t\r\x0b\x0c\x85" and not rest[k - 1].isspace()), 0)
