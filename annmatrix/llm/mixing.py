@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import literal
+from .common import boxed, literal
 
 #: Sources whose table of rates is broadcast.
 BROADCAST_SOURCES = 20_000
-#: Rates above this repeat for sure as often as they exceed it; only the rest is random.
-RANDOM_PART = 500.0
+#: The mean of one draw at most; higher rates are the sum of several draws, which is Poisson again.
+LARGEST_MEAN = 500.0
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, total: float = 1.0, source_col: str = "source") -> DataFrame:
-    """source, documents, rate (mean copies of each document) and cdf (of the copies).
+    """source, documents, rate (mean copies of each document), draws (how many are added up) and cdf (of one draw).
 
     weights: the share of each source in the mix (any sum; sources without one get none).
     Without them a source's share is its number of documents to the power temper.  total: documents of the mix per document.
@@ -29,17 +29,16 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temper: floa
     sums = counted.agg(F.sum("documents").alias("all_documents"), F.sum("share").alias("all_shares"))
     mixed = counted.crossJoin(F.broadcast(sums)).select("source", "documents", (F.lit(float(total)) * F.col("all_documents") * F.col("share") / F.col("all_shares") / F.col("documents")).alias("rate"))
     mixed = mixed.withColumn("rate", F.coalesce("rate", F.lit(0.0)))
-    mixed = mixed.withColumn("sure", F.greatest(F.lit(0.0), F.floor(F.col("rate") - RANDOM_PART))).withColumn("mean", F.col("rate") - F.col("sure"))
+    mixed = mixed.withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_MEAN)).cast("int")).withColumn("mean", F.col("rate") / F.col("draws"))
     steps = "sequence(1, cast(ceil(mean + 10 * sqrt(mean) + 20) as int))"
     start = "named_struct('p', exp(-mean), 'sum', exp(-mean), 'cdf', array(exp(-mean)))"
     cdf = f"aggregate({steps}, {start}, (a, k) -> named_struct('p', a.p * mean / k, 'sum', a.sum + a.p * mean / k, 'cdf', array_append(a.cdf, a.sum + a.p * mean / k)), a -> a.cdf)"
-    return mixed.select("source", "documents", "rate", F.col("sure").cast("int").alias("sure"), F.expr(cdf).alias("cdf"))
+    return mixed.select("source", "documents", "rate", "draws", F.expr(cdf).alias("cdf"))
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """A number in [0, 1) from a key's hash: 52 bits of its MD5."""
-    digest = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 13)
-    return F.conv(digest, 16, 10).cast("double") / F.lit(float(1 << 52))
+def uniform(key: str, seed: str) -> str:
+    """SQL of a number in [0, 1) from the hash of a seed and a key: 52 bits of its MD5."""
+    return f"cast(conv(substring(md5(concat({seed}, {key})), 1, 13), 16, 10) as double) / {1 << 52}D"
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, total: float = 1.0, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", copy_col: str | None = "copy") -> DataFrame:
@@ -47,28 +46,31 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temper: float
 
     The copies of a document are Poisson with its source's rate as mean, by
     inversion of the distribution at a uniform number from the hash of seed and
-    doc_id, so a rerun, another partitioning or a lost executor gives the same mix.  Documents
-    drawn 0 times are absent, as sampling at a rate below 1 means.
+    doc_id, so a rerun, another partitioning or a lost executor gives the same mix.  Rates above LARGEST_MEAN are
+    split into equal draws, each with a seed of its own.  Documents drawn 0 times are absent, as sampling at a rate below 1 means.
     All copies are dealt to partitions, and ordered in them, by another hash, so no source
     and no document stays together.
 
-    Rows with equal ids are drawn alike; rows without id are drawn by their source, text and other columns'
-    hash.  A null source is a source of its own (named by no weight).  An empty table gives an empty one.
-    A column named as copy_col is replaced by the copy's number.
+    Texts aren't read, so null, empty and very long ones are copied like any other.  Rows with equal ids are drawn alike; rows
+    without id are drawn by a hash of all their columns.  A null source is a source of its own (named by no weight).
+    An empty table gives an empty one.  A column named as copy_col is replaced by the copy's number; other columns are
+    carried along, whatever their names.
     """
-    columns = [c for c in docs.columns if c != copy_col]
-    table = rates(docs, weights, temper, total, source_col).select(F.col("source").alias("_source"), F.col("sure").alias("_sure"), F.col("cdf").alias("_cdf"))
+    table = rates(docs, weights, temper, total, source_col).select(F.col("source").alias("known"), "draws", "cdf")
     table = table.persist()
     if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("#"), F.xxhash64(*columns).cast("string")))
-    drawn = docs.select(*columns, key.alias("_key")).join(table, F.col(source_col).eqNullSafe(F.col("_source")))
-    drawn = drawn.withColumn("_u", uniform(F.col("_key"), seed))
-    drawn = drawn.withColumn("_n", F.expr("_sure + size(filter(_cdf, c -> c <= _u))"))
-    copies = drawn.where("_n > 0").select(*columns, "_key", F.expr("explode(sequence(0, _n - 1)) as _copy"))
-    copies = copies.withColumn("_at", F.xxhash64(F.lit(seed), "_key", "_copy"))
-    dealt = copies.repartition(F.col("_at")).sortWithinPartitions("_at")
-    return dealt.select(*columns, *([F.col("_copy").alias(copy_col)] if copy_col else []))
+    columns = [c for c in docs.columns if c != copy_col]
+    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("#"), F.xxhash64(*[F.col(f"`{c}`") for c in columns]).cast("string")))
+    drawn = boxed(docs.select(*[F.col(f"`{c}`") for c in columns]), source=F.col(f"`{source_col}`"), key=key)
+    drawn = drawn.join(table, F.col("source").eqNullSafe(F.col("known"))).withColumn("u", F.expr(uniform("key", f"'{seed}:'")))
+    further = uniform("key", f"concat('{seed}.', i, ':')")
+    more = f"aggregate(sequence(1, draws - 1), 0, (a, i) -> a + size(filter(cdf, c -> c <= {further})))"
+    drawn = drawn.withColumn("n", F.expr(f"size(filter(cdf, c -> c <= u)) + if(draws > 1, {more}, 0)"))
+    copies = drawn.where("n > 0").select("row", "key", F.expr("explode(sequence(0, n - 1)) as number"))
+    copies = copies.withColumn("at", F.xxhash64(F.lit(seed), "key", "number"))
+    dealt = copies.repartition(F.col("at")).sortWithinPartitions("at")
+    return dealt.select("row.*", *([F.col("number").alias(copy_col)] if copy_col else []))
 
 
 SQL = """
