@@ -58,13 +58,14 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
     (tokens of its document before it), length, ids_crc32, sequence_id, offset.
 
     Every partition packs its own pieces by best fit.  Bins filled to full_from
-    or more are done.  The others are items of the next round, where groups of
-    partitions are packed together, until one group is left.  Groups never hold
-    more than GROUP items, so where underfull bins can't be merged (say, all
-    documents just over half a sequence) the rounds end when they stop helping.
-
-    Null texts are empty: one piece of one token.  Rows are not joined on
-    doc_id, so repeated or null ids make pieces of their own; an empty table gives
+    or more are done, and so are those that not even the least filled one fits in.  The others are items of the next round,
+    where groups of partitions are packed together, until one group is left.  Groups never hold
+    more than GROUP items; as long as there are more, groups are drawn anew each round, and the rounds go on
+    until one of them merges nothing.
+
+    Null and empty texts are one piece of one token.  A very long text's ids are held by one task, its pieces
+    are packed like any others.  Ties: pieces of equal length are packed in the order in which a task reads them.
+    Rows are not joined on doc_id, so repeated or null ids make pieces of their own; an empty table gives
     an empty one; further columns are not read.
     """
     name, limit = tokenizer, int(capacity * full_from)
@@ -145,17 +146,25 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     bins = saved(texts.mapInArrow(first, BIN))
-    done, rest = bins.where(F.col("used") >= limit), bins.where(F.col("used") < limit)
-    spans = bins.rdd.getNumPartitions()
-    left = rest.count()
+
+    def sort_out(some: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """Bins that are done, the others, and how many those are."""
+        least = some.where(F.col("used") < limit).agg(F.min("used")).first()[0] or 0
+        open_ = (F.col("used") < limit) & (F.col("used") <= capacity - least)
+        return some.where(~open_), some.where(open_), some.where(open_).count()
+
+    spans, turn = bins.rdd.getNumPartitions(), 0
+    done, rest, left = sort_out(bins)
     while left and spans > 1:
         groups = max(-(-spans // FAN_IN), -(-left // GROUP))
         # neighbouring partitions first: the task number stands in the high bits of sequence_id, the place in it below
-        key = F.pmod(F.shiftright("sequence_id", 40), F.lit(groups)) if left < groups * GROUP // 2 else F.pmod(F.xxhash64("sequence_id"), F.lit(groups))
+        near = left < groups * GROUP // 2
+        key = F.pmod(F.shiftright("sequence_id", 40), F.lit(groups)) if near else F.pmod(F.xxhash64("sequence_id", F.lit(turn)), F.lit(groups))
         packed = saved(rest.withColumn("g", key).groupBy("g").applyInArrow(lambda t: again(t), BIN))
-        done = done.union(packed.where(F.col("used") >= limit))
-        rest = packed.where(F.col("used") < limit)
-        before, left, spans = left, rest.count(), groups
-        if left > 0.98 * before and groups > 1 and left > GROUP:
+        before, turn = left, turn + 1
+        full, rest, left = sort_out(packed)
+        done, merged = done.union(full), packed.count() < before
+        if not merged and groups >= spans:
             break
+        spans = groups
     return done.union(rest).mapInArrow(spread, OUT)
