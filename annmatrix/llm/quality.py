@@ -22,8 +22,8 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Everything is computed inside the row, without a shuffle.  Repeated
     three-word windows are found on their 64-bit hashes: hash and place are
-    packed in one long, longs are sorted, neighbours with equal high bits are
-    compared by whole hashes.  That takes n log n steps in a text of n words.
+    packed in one long, longs are sorted, and of neighbours with equal high bits the words themselves
+    are compared.  That takes n log n steps in a text of n words.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     one = base.select(
@@ -35,6 +35,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     two = one.select(
         "doc_id",
         F.expr("cast(size(words) as long)").alias("n_words"),
+        "words",
         F.expr("cast(char_length(array_join(words, '')) as long)").alias("word_chars"),
         "n_symbols",
         F.expr("cast(size(lines) - size(array_distinct(lines)) as long)").alias("n_dup_lines"),
@@ -42,11 +43,12 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.expr("case when size(words) > 2 then transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])) else array() end").alias("h"),
     )
     kept = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines"]
-    three = two.select(*kept, "h", F.expr("cast(ceil(log2(size(h) + 1)) as int)").alias("b"), F.expr("size(h) > 1 and size(array_distinct(h)) < size(h)").alias("again"))
-    four = three.select(*kept, "h", "b", F.expr("case when again then sort_array(transform(h, (x, i) -> shiftleft(x, b) | cast(i as bigint))) else array() end").alias("s"))
+    three = two.select(*kept, "words", "h", F.expr("cast(ceil(log2(size(h) + 1)) as int)").alias("b"), F.expr("size(h) > 1 and size(array_distinct(h)) < size(h)").alias("again"))
+    four = three.select(*kept, "b", F.expr("if(again, words, null)").alias("words"), F.expr("case when again then sort_array(transform(h, (x, i) -> shiftleft(x, b) | cast(i as bigint))) else array() end").alias("s"))
     same = "coalesce(shiftright(x, b) = shiftright(get(s, i - 1), b), false) or coalesce(shiftright(x, b) = shiftright(get(s, i + 1), b), false)"
-    five = four.select(*kept, F.expr(f"sort_array(transform(transform(filter(s, (x, i) -> {same}), x -> cast(x & (shiftleft(1L, b) - 1) as int)), p -> struct(h[p] as h, p as p)))").alias("c"))
-    true = "coalesce(x.h = get(c, i - 1).h, false) or coalesce(x.h = get(c, i + 1).h, false)"
+    window = "struct(struct(words[p] as x, words[p + 1] as y, words[p + 2] as z) as w, p as p)"
+    five = four.select(*kept, F.expr(f"sort_array(transform(transform(filter(s, (x, i) -> {same}), x -> cast(x & (shiftleft(1L, b) - 1) as int)), p -> {window}))").alias("c"))
+    true = "coalesce(x.w = get(c, i - 1).w, false) or coalesce(x.w = get(c, i + 1).w, false)"
     six = five.select(*kept, F.expr(f"sort_array(transform(filter(c, (x, i) -> {true}), x -> x.p))").alias("p"))
     covered = "aggregate(transform(p, (x, i) -> least(3, coalesce(get(p, i + 1) - x, 3))), 0L, (a, x) -> a + x)"
     return six.select(*kept, F.expr(covered).alias("n_repeat_words"))
@@ -75,7 +77,7 @@ def learn_rules(values: dict[str, np.ndarray], bad: np.ndarray, precision: float
             out &= (values[name] < at) if side == "<" else (values[name] >= at)
         return out
 
-    while len(rules) < 32:
+    while True:
         rule: Rule = []
         now = left & grow
         while len(rule) < longest:
