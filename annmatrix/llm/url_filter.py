@@ -56,9 +56,10 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: st
     known = spark.sql(f"select verdict, rule, host_chars, sha2(rule, 256) as rule_digest, substring(sha2(rule, 256), 1, {SHORT}) as rule_short from values {values} as t(verdict, rule, host_chars)")
     if len(rules) <= BROADCAST_RULES:
         known = F.broadcast(known)
-    met = expressions.join(known, (F.col("short") == F.col("rule_short")) & (F.col("digest") == F.col("rule_digest")), "left")
+    met = expressions.join(known, F.col("short") == F.col("rule_short"), "left")
     rank = F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("chars"), "host_chars", (F.col("verdict") == "block").alias("block"), "rule", "verdict"))
-    met = met.where("expression is null or rule is not null")
+    # a short prefix may fit by chance: the whole digest decides
+    met = met.where("expression is null or digest = rule_digest")
     best = met.groupBy("page_id", "host", "path").agg(F.max(rank).alias("best"), F.count_if(F.col("expression").isNull()).cast("int").alias("n"))
     out = best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), F.explode(F.array_repeat(F.lit(1), F.col("n"))).alias("copy"))
     return out.drop("copy")
