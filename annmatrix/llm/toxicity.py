@@ -136,7 +136,7 @@ class Grammar:
     """lexicon: entry to weight; an entry that ends in * is a stem, others are whole words."""
 
     lexicon: dict[str, float] = field(default_factory=lambda: dict(INSULTS))
-    weights: dict[str, float] = field(default_factory=lambda: {"insult": 2.0, "targeted": 2.5, "negated": 0.5, "reported": 0.5, "threat": 2.5, "bias": -3.0})
+    weights: dict[str, float] = field(default_factory=lambda: {"insult": 2.0, "targeted": 4.0, "negated": 0.5, "reported": 0.5, "threat": 6.0, "bias": -3.0})
 
     def compile(self) -> Clauses:
         return Clauses(self)
