@@ -37,6 +37,14 @@ def test_tokens_equal_the_library(name):
     check()
 
 
+def test_tokens_of_many_special_strings():
+    made = bpe.load(tokenizer_path(NAMES[0]))
+    library = tokenizers.Tokenizer.from_file(tokenizer_path(NAMES[0]))
+    text = "<|endoftext|>a" * 60_000
+    counts, _ = made.encode([text], False)
+    assert counts[0] == 120_000 == len(library.encode(text, add_special_tokens=False).ids)
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_tokens_of_long_texts_and_rebuilt_states(name, monkeypatch):
     rng = random.Random(1)
@@ -82,6 +90,13 @@ def test_packing_against_brute_force(spark, monkeypatch):
     assert packing.pack(documents(spark, [])).count() == 0
 
 
+def test_packing_goes_on_as_long_as_it_merges(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 16)
+    rows = [(i, "ox " * (99 if i % 2 else 26)) for i in range(160)]
+    got = packing.pack(documents(spark, rows).repartition(40), capacity=128).toPandas()
+    assert got["sequence_id"].nunique() <= 90
+
+
 def test_packing_items_that_never_fit_together(spark):
     rows = [(i, "ox " * 69) for i in range(60)]
     got = packing.pack(documents(spark, rows).repartition(20), capacity=128).toPandas()
@@ -178,8 +193,17 @@ def test_mixing_odd_tables(spark):
     assert odd.groupBy("doc_id").count().count() == 2
     assert mixing.mix(sources(spark, [(1, "a'b"), (2, "b")]), {"a'b": 1.0}, total=5.0).select("source").distinct().count() == 1
     large = mixing.rates(sources(spark, [(1, "a")]), total=2000.0).first()
-    assert large.sure == 1500 and abs(large.cdf[-1] - 1) < 1e-9
-    assert mixing.mix(sources(spark, [(1, "a")]), total=2000.0).count() > 1500
+    assert large.draws == 4 and abs(large.cdf[-1] - 1) < 1e-9
+    many = mixing.mix(sources(spark, [(i, "a") for i in range(300)]), total=1200.0).groupBy("doc_id").count().toPandas()["count"]
+    assert abs(many.mean() - 1200) < 10 and 800 < many.var() < 1700  # a Poisson's variance is its mean
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    names = ["_n", "_u", "_at", "_key", "_copy", "_source", "_cdf", "n", "u", "at", "key", "number", "known", "draws", "cdf", "row"]
+    docs = spark.createDataFrame([(i, "a", *[f"{c}{i}" for c in names]) for i in range(40)], "doc_id long, source string, " + ", ".join(f"{c} string" for c in names))
+    got = mixing.mix(docs, total=3.0, copy_col=None)
+    assert got.columns == docs.columns and got.count() > 40
+    assert all(r[c] == f"{c}{r.doc_id}" for r in got.collect() for c in names)
 
 
 def vectors(spark, rows):

@@ -436,3 +436,32 @@ def test_pipeline_stages_keep_columns_and_catch_plants(spark, tmp_path):
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "source_mix", "packing"]
     total = pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).first()[0]
     assert total == sum(r.length for r in after["packing"])
+
+
+CLASHING = ["mask", "cut", "lines", "full", "drop", "kept", "row", "number", "key", "dropped", "keep", "gone", "node", "print", "id", "p", "_lines", "_text", "_key", "_drop", "n", "u", "at", "doc"]
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_tables(spark, tmp_path, k):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    labels(spark, [(1, 1, 0)]).write.parquet(str(tmp_path / "labels.parquet"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
+    texts = [(1, None), (2, ""), (2, ""), (3, long_line(1)), (3, long_line(1)), (4, "a\n" + long_line(1)), (None, "no id " + long_line(2)), (None, None), (5, " ".join(f"z{i}" for i in range(60_000)))]
+    docs = spark.createDataFrame([(i, t, None, "s", None if t is None else len(t), *[f"{c}:{i}" for c in CLASHING]) for i, t in texts], schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    name, stage = pipeline.STAGES[k]
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    got = stage(spark, docs, str(tmp_path))
+    rows = got.collect()
+    if k < 4:
+        assert got.columns == docs.columns
+        assert all(r[c] == f"{c}:{r.doc_id}" for r in rows for c in CLASHING)
+    ids = collections.Counter(r.doc_id for r in rows)
+    if name == "toxicity":
+        assert sorted((r.doc_id or 0, r.text or "") for r in rows) == sorted((i or 0, t or "") for i, t in texts)
+    elif name == "line_dedup":
+        assert {r.doc_id: r.text for r in rows if r.doc_id == 4} == {4: "a"} and ids == {1: 1, 2: 2, 3: 2, 4: 1, None: 2, 5: 1}
+    elif name == "near_dedup":
+        assert ids == {1: 1, 3: 1, None: 1, 5: 1}  # the line of 4 makes it a near copy of 3
+    elif name == "packing":
+        assert {r.doc_id for r in rows} == {1, 2, 3, 4, 5, None}
