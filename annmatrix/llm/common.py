@@ -52,6 +52,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder in any store that Spark can write to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def boxed(df: DataFrame, **more: Column) -> DataFrame:
     """All columns of df as the one column row, and more beside it, so that no name of theirs can clash; box.row.* unpacks it."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
