@@ -87,13 +87,14 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     parts = parts.withColumn("drop", F.expr("transform(mask, i -> get(full, i))"))
     between = "slice(lines, coalesce(get(drop, j - 1), -1) + 2, coalesce(get(drop, j), size(lines)) - coalesce(get(drop, j - 1), -1) - 1)"
     parts = parts.withColumn("kept", F.expr(f"if(size(drop) = size(full), null, array_join(flatten(transform(sequence(0, size(drop)), j -> {between})), '\\n'))"))
+    # a generator keeps what it yields from being put in, with its definition, for each element of a filter pushed down
+    parts = parts.select("row", "mask", F.expr("explode(case when mask is null then array(cast(null as string)) when kept is not null then array(kept) else array() end) as new"))
     changed = F.col("mask").isNotNull()
-    parts = parts.where(~changed | F.col("kept").isNotNull())
 
     def column(c: str) -> Column:
         old = F.col("row").getField(c)
         if c == text_col:
-            return F.when(changed, F.col("kept")).otherwise(old.cast("string")).alias(c)
-        return (F.when(changed, F.length("kept").cast("long")).otherwise(old) if c == "n_chars" else old).alias(c)
+            return F.when(changed, F.col("new")).otherwise(old.cast("string")).alias(c)
+        return (F.when(changed, F.length("new").cast("long")).otherwise(old) if c == "n_chars" else old).alias(c)
 
     return parts.select(*[column(c) for c in docs.columns])
