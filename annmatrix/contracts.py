@@ -7,16 +7,18 @@ event types; and documents with their labels as metadata with missing groups.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import predicate
 from .operators import analysis, research, workflows
 from .operators.tasks import AggregateTask, MaterializeTask
+from .plans.lineage import shared_folder
 from .sources.dataset import Dataset
-from .sources.matrix import Matrix
+from .sources.matrix import Matrix, read_matrix_market, write_matrix_market
+from .sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,13 +86,21 @@ def labelled(spark: SparkSession, sf_dir: str) -> Dataset:
     return Dataset(obs.select(F.col("doc_id").alias("_pos"), F.col("doc_id").cast("string").alias("_id"), "lang", "source", "n_chars", quality.alias("quality")))
 
 
+def store_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+
+
+def stored(data: Dataset) -> Store:
+    """A store of a dataset in the shared folder."""
+    return Store.from_dataset(data, store_path(data.spark))
+
+
 def rounded(column: str, digits: int = 4):
     return F.round(F.col(column).cast("double"), digits)
 
 
 OBS = """obs AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, c_nationkey, c_mktsegment, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey),
 x AS (SELECT l_orderkey AS r, l_partkey AS c, sum(l_quantity) AS v, sum(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2)"""
-FIRST_20 = [f"p{i}" for i in range(20)]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,23 +155,56 @@ def induced_subgraph(spark, sf_dir):
 # changes, as new metadata tables
 @query(f"WITH {OBS} SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM obs")
 def update_obs_join(spark, sf_dir):
-    obs = lines(spark, sf_dir).obs
-    new = obs.where("_pos % 10 = 0").select(F.col("_id").alias("_u"), F.lit("X").alias("value"))
-    return obs.join(new, F.col("_id") == F.col("_u"), "left").select(F.col("_pos").alias("pos"), F.coalesce("value", "o_orderstatus").alias("o_orderstatus"))
+    store = stored(Dataset(lines(spark, sf_dir).obs))
+    store.update_obs("o_orderstatus", store.obs.where("_pos % 10 = 0").select("_id", F.lit("X").alias("value")))
+    return store.obs.select(F.col("_pos").alias("pos"), "o_orderstatus")
 
 
 @query(f"WITH {OBS} SELECT o_orderkey AS pos, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 100000 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus FROM obs")
 def update_obs_where(spark, sf_dir):
-    obs = lines(spark, sf_dir).obs
-    test = predicate.condition('"o_orderstatus" = ? AND "o_totalprice" > ?', ["F", 100000])
-    return obs.select(F.col("_pos").alias("pos"), F.when(test, F.lit("Z")).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
+    store = stored(Dataset(lines(spark, sf_dir).obs))
+    store.update_obs_where("o_orderstatus", "Z", '"o_orderstatus" = ? AND "o_totalprice" > ?', ["F", 100000])
+    return store.obs.select(F.col("_pos").alias("pos"), "o_orderstatus")
 
 
 @query(f"WITH {OBS}, t AS (SELECT r, sum(v) AS q FROM x GROUP BY 1) SELECT o_orderkey AS pos, o_orderstatus, coalesce(q, 0) AS quantity FROM obs LEFT JOIN t ON r = o_orderkey")
 def add_obs_column(spark, sf_dir):
     data = lines(spark, sf_dir)
-    totals = data.X.totals().select(F.col("row").alias("_at"), "total")
-    return data.obs.join(totals, F.col("_pos") == F.col("_at"), "left").select(F.col("_pos").alias("pos"), "o_orderstatus", F.coalesce("total", F.lit(0.0)).alias("quantity"))
+    store = stored(Dataset(data.obs))
+    totals = data.X.totals().select(F.col("row").alias("at"), "total")
+    store.add_obs_column("quantity", store.obs.select("_pos").join(totals, F.col("_pos") == F.col("at"), "left").select("_pos", F.coalesce("total", F.lit(0.0)).alias("value")))
+    return store.obs.select(F.col("_pos").alias("pos"), "o_orderstatus", "quantity")
+
+
+@query(f"WITH {OBS} SELECT o_orderkey AS pos, o_totalprice FROM obs WHERE o_orderstatus = 'P'")
+def named_view(spark, sf_dir):
+    store = stored(Dataset(lines(spark, sf_dir).obs))
+    store.save_view("open", store.query_obs('"o_orderstatus" = ?', ["P"], ["o_totalprice"]))
+    store.reload()
+    return store.load_view("open").obs.select(F.col("_pos").alias("pos"), "o_totalprice")
+
+
+@query(f"WITH {OBS}, n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row FROM obs WHERE o_orderstatus = 'P') SELECT row, c AS feature, v AS value FROM n JOIN x ON r = o_orderkey WHERE v <> 0")
+def view_materialize(spark, sf_dir):
+    data = lines(spark, sf_dir)
+    made = Dataset(data.obs, data.var, data.X).query_obs('"o_orderstatus" = ?', ["P"], ["o_totalprice"]).materialize(store_path(spark))
+    return made.X.entries().select("row", F.col("col").cast("long").alias("feature"), "value")
+
+
+@query(f"WITH {OBS} SELECT o_orderpriority, 'p' || c AS feature, round(sum(v), 4) AS sum, count(*) AS count_nonzero FROM obs JOIN x ON r = o_orderkey WHERE v <> 0 GROUP BY 1, 2")
+def agg_packed_rows(spark, sf_dir):
+    """The same aggregation over packed sparse rows, as a store keeps them."""
+    data = lines(spark, sf_dir)
+    store = stored(Dataset(data.obs, data.var, data.X))
+    got = store.aggregate_many([AggregateTask("t", "o_orderpriority", metrics=("sum", "count_nonzero"))])["t"]
+    return got.stats.join(got.groups.select("group_idx", "o_orderpriority"), "group_idx").select("o_orderpriority", "feature", rounded("sum").alias("sum"), "count_nonzero")
+
+
+@query(f"WITH {OBS} SELECT r AS row, c AS col, v AS value FROM x WHERE v <> 0")
+def mtx_round_trip(spark, sf_dir):
+    path = store_path(spark)
+    write_matrix_market(lines(spark, sf_dir).X, path)
+    return read_matrix_market(spark, path).entries().select("row", F.col("col").cast("long").alias("col"), "value")
 
 
 # aggregations
@@ -171,17 +214,17 @@ def dense(result, *metrics: str) -> DataFrame:
     return table.select(*keys, "feature", *[rounded(m).alias(m) if m != "count_nonzero" else F.col(m) for m in metrics])
 
 
-GRID = "g AS (SELECT {keys}, count(*) AS n_cells, {order} AS first FROM obs {where} GROUP BY {keys}), i AS (SELECT *, CAST(row_number() OVER (ORDER BY {rank}) - 1 AS INTEGER) AS group_idx FROM g), f AS (SELECT p_partkey AS c, 'p' || p_partkey AS feature FROM part WHERE p_partkey < 20)"
+GRID = "g AS (SELECT {keys}, count(*) AS n_cells, {order} AS first FROM obs {where} GROUP BY {keys}), i AS (SELECT *, CAST(row_number() OVER (ORDER BY {rank}) - 1 AS INTEGER) AS group_idx FROM g), f AS (SELECT p_partkey AS c, 'p' || p_partkey AS feature FROM part)"
 
 
 @query(f"WITH {OBS}, {GRID.format(keys='o_orderstatus', order='min(o_orderkey)', where='', rank='first')}, s AS (SELECT o_orderstatus, c, sum(v) AS t FROM obs JOIN x ON r = o_orderkey GROUP BY 1, 2) SELECT group_idx, i.o_orderstatus, n_cells, feature, round(coalesce(t, 0), 4) AS sum FROM i CROSS JOIN f LEFT JOIN s ON s.o_orderstatus = i.o_orderstatus AND s.c = f.c")
 def agg_sum(spark, sf_dir):
-    return dense(lines(spark, sf_dir).aggregate_many([AggregateTask("t", "o_orderstatus", features=FIRST_20)])["t"], "sum")
+    return dense(lines(spark, sf_dir).aggregate_many([AggregateTask("t", "o_orderstatus")])["t"], "sum")
 
 
 @query(f"WITH {OBS}, {GRID.format(keys='c_mktsegment', order='min(o_orderkey)', where=chr(87) + 'HERE o_orderstatus = ' + chr(39) + 'F' + chr(39), rank='first')}, s AS (SELECT c_mktsegment, c, sum(v) AS t, count(*) AS n FROM obs JOIN x ON r = o_orderkey WHERE o_orderstatus = 'F' AND v <> 0 GROUP BY 1, 2) SELECT group_idx, i.c_mktsegment, n_cells, feature, round(coalesce(t, 0), 4) AS sum, round(coalesce(t, 0) / n_cells, 4) AS mean, coalesce(n, 0) AS count_nonzero FROM i CROSS JOIN f LEFT JOIN s ON s.c_mktsegment = i.c_mktsegment AND s.c = f.c")
 def agg_mean_implicit_zero(spark, sf_dir):
-    task = AggregateTask("t", "c_mktsegment", metrics=("sum", "mean", "count_nonzero"), features=FIRST_20, where='"o_orderstatus" = ?', params=["F"])
+    task = AggregateTask("t", "c_mktsegment", metrics=("sum", "mean", "count_nonzero"), where='"o_orderstatus" = ?', params=["F"])
     return dense(lines(spark, sf_dir).aggregate_many([task])["t"], "sum", "mean", "count_nonzero")
 
 
@@ -308,9 +351,9 @@ def matched_strata(spark, sf_dir):
     return research.matched_strata(view.obs, ["c_nationkey", "c_mktsegment"], "o_orderpriority", "5-LOW", "1-URGENT")
 
 
-@query(f"WITH {OBS}, p(arm) AS (VALUES ('5-LOW'), ('1-URGENT')), n AS (SELECT c_mktsegment, o_orderpriority AS arm, count(*) AS n FROM obs GROUP BY 1, 2), s AS (SELECT c_mktsegment, o_orderpriority AS arm, c, sum(v) AS t FROM obs JOIN x ON r = o_orderkey GROUP BY 1, 2, 3), f AS (SELECT p_partkey AS c FROM part WHERE p_partkey < 20), m AS (SELECT n.c_mktsegment, n.arm, f.c, coalesce(t, 0) / n AS m FROM n JOIN p USING (arm) CROSS JOIN f LEFT JOIN s ON s.c_mktsegment = n.c_mktsegment AND s.arm = n.arm AND s.c = f.c), d AS (SELECT a.c, a.m - b.m AS d FROM m a JOIN m b ON a.c = b.c AND a.c_mktsegment = b.c_mktsegment AND a.arm = '1-URGENT' AND b.arm = '5-LOW') SELECT 'p' || c AS feature, round(avg(d), 6) AS mean_matched_difference, round(avg(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive_pair_fraction, count(*) AS n_pairs FROM d GROUP BY 1")
+@query(f"WITH {OBS}, p(arm) AS (VALUES ('5-LOW'), ('1-URGENT')), n AS (SELECT c_mktsegment, o_orderpriority AS arm, count(*) AS n FROM obs GROUP BY 1, 2), s AS (SELECT c_mktsegment, o_orderpriority AS arm, c, sum(v) AS t FROM obs JOIN x ON r = o_orderkey GROUP BY 1, 2, 3), f AS (SELECT p_partkey AS c FROM part), m AS (SELECT n.c_mktsegment, n.arm, f.c, coalesce(t, 0) / n AS m FROM n JOIN p USING (arm) CROSS JOIN f LEFT JOIN s ON s.c_mktsegment = n.c_mktsegment AND s.arm = n.arm AND s.c = f.c), d AS (SELECT a.c, a.m - b.m AS d FROM m a JOIN m b ON a.c = b.c AND a.c_mktsegment = b.c_mktsegment AND a.arm = '1-URGENT' AND b.arm = '5-LOW') SELECT 'p' || c AS feature, round(avg(d), 6) AS mean_matched_difference, round(avg(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive_pair_fraction, count(*) AS n_pairs FROM d GROUP BY 1")
 def matched_response(spark, sf_dir):
-    task = AggregateTask("t", ["c_mktsegment", "o_orderpriority"], metrics=("sum", "count_nonzero"), features=FIRST_20, where='"o_orderpriority" IN (?, ?)', params=["5-LOW", "1-URGENT"])
+    task = AggregateTask("t", ["c_mktsegment", "o_orderpriority"], metrics=("sum", "count_nonzero"), where='"o_orderpriority" IN (?, ?)', params=["5-LOW", "1-URGENT"])
     got = lines(spark, sf_dir).aggregate_many([task])["t"]
     out = research.matched_response(got, ["c_mktsegment"], "o_orderpriority", "5-LOW", "1-URGENT")
     return out.select("feature", rounded("mean_matched_difference", 6).alias("mean_matched_difference"), rounded("positive_pair_fraction", 6).alias("positive_pair_fraction"), "n_pairs")

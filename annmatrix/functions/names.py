@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 # Result names by operation and integration.
 PLAIN_NAMES = {
@@ -76,7 +77,7 @@ class StateError(Exception):
 
     def __init__(self, operation: str, missing: str, available: list[str]):
         self.operation, self.missing, self.available = operation, missing, list(available)
-        super().__init__(f"Cannot run '{operation}': requires {missing}. Available: {self.available}")
+        super().__init__(f"{operation!r} needs {missing}; there is: {self.available}")
 
 
 class PipelineStateValidator:
@@ -91,15 +92,21 @@ class PipelineStateValidator:
         return list(PRECONDITIONS)
 
     @classmethod
-    def validate(cls, operation: str, state: dict, groupby: str | None = None) -> None:
-        """Raises StateError if something is missing; operations without rules pass."""
+    def unmet(cls, operation: str, state: dict, groupby: str | None = None) -> Iterator[tuple[str, list[str]]]:
+        """(what is wanted, what is there) of each condition that the state doesn't meet."""
         needs = cls.get_preconditions(operation)
         if needs.get("X") and not state.get("X_exists"):
-            raise StateError(operation, "expression matrix (X)", [])
-        for kind, what in (("obsm", "obsm_keys"), ("obsp", "obsp_keys"), ("obs_columns", "obs_columns")):
-            present = list(state.get(what, ()))
-            offered = present + [groupby] if kind == "obs_columns" and groupby else present
-            for pattern in needs.get(kind, ()):
-                if not any(re.match(pattern, k) for k in offered):
-                    label = "obs column" if kind == "obs_columns" else kind
-                    raise StateError(operation, f"{label} matching '{pattern}'", present)
+            yield "a matrix X", []
+        slots = {"obsm": state.get("obsm_keys"), "obsp": state.get("obsp_keys"), "obs_columns": state.get("obs_columns")}
+        for slot, there in slots.items():
+            there = list(there or ())
+            candidates = [*there, groupby] if slot == "obs_columns" and groupby else there
+            for pattern in needs.get(slot, ()):
+                if not list(filter(re.compile(pattern).match, candidates)):
+                    yield f"an entry of {slot} like {pattern}", there
+
+    @classmethod
+    def validate(cls, operation: str, state: dict, groupby: str | None = None) -> None:
+        """Raises StateError for the first unmet condition; operations without conditions pass."""
+        for wanted, there in cls.unmet(operation, state, groupby):
+            raise StateError(operation, wanted, there)

@@ -137,21 +137,27 @@ def from_array(spark: SparkSession, values: Any, sparse: bool = False) -> Matrix
 
 
 def read_matrix_market(spark: SparkSession, path: str, transpose: bool = False) -> Matrix:
-    """A coordinate MatrixMarket file (real, integer or pattern; general or symmetric) as entries.
+    """A coordinate MatrixMarket file (real, integer or pattern; general or symmetric), or a folder that write_matrix_market has written, as entries.
 
     Lines are read as a table, so a large file is split over tasks.  transpose: for feature-by-cell files.
     """
-    lines = spark.read.text(path).where("value not like '%\\%%' escape '\\' or value like '\\%\\%MatrixMarket%'")
-    head = lines.where("value like '\\%\\%MatrixMarket%'").first()
+    # files without a header of their own, as parts of a written folder, are entries only
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.trim("value").alias("value")).where("value <> ''")
+    head = lines.where(F.lower("value").startswith("%%matrixmarket")).first()
     words = head[0].lower().split() if head else []
     if words[1:3] != ["matrix", "coordinate"] or words[3] not in ("real", "integer", "pattern") or words[4] not in ("general", "symmetric"):
         raise ValueError(f"not a coordinate MatrixMarket file of real, integer or pattern values: {words}")
-    body = lines.where("value not like '\\%%' and trim(value) <> ''").select(F.split(F.trim("value"), r"\s+").alias("w"), F.monotonically_increasing_id().alias("i"))
-    size = body.orderBy("i").first()
-    n, m, _ = map(int, size.w)
+    # the size stands in the first line that is no comment of the file that has the header
+    headed = F.input_file_name()
+    named = spark.read.option("recursiveFileLookup", "true").text(path).select(F.trim("value").alias("value"), headed.alias("file"), F.monotonically_increasing_id().alias("i"))
+    first = named.where(F.lower("value").startswith("%%matrixmarket")).select("file").first().file
+    size = named.where((F.col("file") == first) & (F.col("value") != "") & ~F.col("value").startswith("%")).orderBy("i").first()
+    n, m, _ = map(int, size.value.split())
+    body = named.where((F.col("value") != "") & ~F.col("value").startswith("%") & ~((F.col("file") == first) & (F.col("i") == size.i)))
+    body = body.select(F.split("value", r"\s+").alias("w"))
     kind = {"real": "double", "integer": "bigint", "pattern": "int"}[words[3]]
     value = F.lit(1) if words[3] == "pattern" else F.col("w")[2].cast(kind)
-    entries = body.where(F.col("i") > size.i).select((F.col("w")[0].cast("long") - 1).alias("row"), (F.col("w")[1].cast("int") - 1).alias("col"), value.alias("value"))
+    entries = body.select((F.col("w")[0].cast("long") - 1).alias("row"), (F.col("w")[1].cast("int") - 1).alias("col"), value.alias("value"))
     if words[4] == "symmetric":
         entries = entries.union(entries.where("row <> col").select(F.col("col").cast("long"), F.col("row").cast("int"), "value"))
     if transpose:
