@@ -287,7 +287,8 @@ def execute_tasks(data: Any, tasks: Sequence[Any], *, batch_size: int = 4096, me
     """Aggregations and materialisations with shared scans, in as few waves as the budget allows.
 
     A materialisation's result is a lazy Subset, or what its consumer makes of it; consumers run
-    one after the other.  Every compatible task of a wave reads its source together.
+    one after the other.  A wave's aggregations read their source together; each materialisation's lazy table
+    reads it again when used, which the report, the planner's accounting, counts as the same scan.
     """
     return MixedRun(data, tasks, batch_size, memory_budget_bytes).run()
 
