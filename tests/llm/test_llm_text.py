@@ -263,6 +263,24 @@ def test_one_row_of_each_component_stays_whatever_the_ids(spark):
     assert [r.doc_id for r in kept] == similar_brute(chain) == [0]
 
 
+@pytest.mark.parametrize(("small", "block"), [(1, 1000), (1, 3), (3, 5)])
+def test_blocks_of_buckets_lose_no_link(spark, monkeypatch, small, block):
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "BLOCK_SETS", block)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(160)]
+    cloud = []
+    for i in range(30):  # some are similar to each other, most are just below
+        copy = words[:]
+        for at in rng.sample(range(160), rng.choice((1, 2, 4))):
+            copy[at] = f"e{rng.random()}"
+        cloud.append((i, " ".join(copy)))
+    chain = [(100 + i, " ".join([f"n{k}" for k in range(3 * i)] + [f"c{k}" for k in range(3 * i, 200)])) for i in range(20)]
+    rows = cloud + chain + [(200 + i, " ".join(f"s{i}x{k}" for k in range(30))) for i in range(5)]
+    kept = near_dedup.drop_similar(table(spark, rows)).collect()
+    assert sorted(r.doc_id for r in kept) == similar_brute(rows)
+
+
 def labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
