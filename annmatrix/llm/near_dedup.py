@@ -1,4 +1,8 @@
-"""Near duplicates by the similarity of shingle sets: MinHash bands find candidates, exact Jaccard similarity confirms them."""
+"""Near duplicates by the similarity of shingle sets: deletion-variant signatures find candidates, exact Jaccard similarity confirms them.
+
+The signatures are those of the SimHash fingerprints, with one bit left out of each key, and, for pairs whose fingerprints
+differ in more bits than those reach, those of bands of MinHash minima, with one minimum left out of each band.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +14,20 @@ from pyspark.sql import functions as F
 
 from .common import boxed, map_arrow, saved, text_of
 from .components import components
-from .simhash import shingle_hashes
-
-#: A pair of similarity s agrees in a band with probability s ** ROWS; of pairs at 0.8, (1 - 0.8 ** 6) ** 40 = 5e-6 agree in none.
-BANDS, ROWS = 40, 6
-#: Odd factors, each of which orders the shingles anew.
-FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+from .simhash import bit_counts, connecting_links, majority, shingle_hashes
+
+#: Bits in which fingerprints may differ whose variants meet surely.
+DISTANCE = 4
+#: A pair of similarity s differs in at most one minimum of a band with probability p = s ** ROWS + ROWS * s ** (ROWS - 1) * (1 - s); of pairs at 0.8, (1 - p) ** 12 = 3e-6 do in none.
+BANDS, ROWS = 12, 6
+#: Variants of all bands: each leaves out one minimum.
+KEYS = BANDS * ROWS
+#: The places that each variant of a band has.
+OTHERS = np.array([[i for i in range(ROWS) if i != left] for left in range(ROWS)])
+#: Minima that a sketch tells of.
+SKETCHED = 240
+#: Odd factors, each of which orders the shingles anew; the bands use the first ones.
+FACTORS = np.random.default_rng(42).integers(0, 1 << 63, SKETCHED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles that are multiplied by all factors at once.
 CHUNK = 2048
 #: Sets up to which a bucket's pairs become rows; the sets of larger buckets meet in cells.
@@ -32,18 +44,26 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The least product of the set's shingles with each factor."""
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(shingles), CHUNK):
+        counts += bit_counts(shingles[k : k + CHUNK])
+    return majority(counts, len(shingles))
+
+
+def minima(shingles: np.ndarray, number: int = SKETCHED) -> np.ndarray:
+    """The least product of the set's shingles with each of the first factors, that number of them."""
+    least = np.full(number, ~np.uint64(0))
     for k in range(0, len(shingles), CHUNK):
-        np.minimum(least, (FACTORS[:, None] * shingles[None, k : k + CHUNK]).min(1), out=least)
+        np.minimum(least, (FACTORS[:number, None] * shingles[None, k : k + CHUNK]).min(1), out=least)
     return least
 
 
 def band_keys(least: np.ndarray) -> list[int]:
-    """A key for each band of the minima."""
-    raw, step = least.tobytes(), 8 * ROWS
-    keys = [xxhash.xxh64_intdigest(raw[step * i : step * (i + 1)], i) for i in range(BANDS)]
+    """The deletion variants of each band of the minima: keys of the band without one of its minima."""
+    raw, step = least[:KEYS].reshape(BANDS, ROWS)[:, OTHERS].tobytes(), 8 * (ROWS - 1)
+    keys = [xxhash.xxh64_intdigest(raw[step * i : step * (i + 1)], i) for i in range(KEYS)]
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
@@ -55,25 +75,25 @@ def sketch(least: np.ndarray) -> list[int]:
 
 def most_different(similarity: float) -> int:
     """How many places of two sketches may differ at the similarity: six standard deviations more than the mean."""
-    n = BANDS * ROWS
+    n = SKETCHED
     p = (1 - similarity) * 15 / 16
     return int(n * p + 6 * (n * p * (1 - p)) ** 0.5)
 
 
 def banded(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, print, node, n, keys) of every row: the text's hash, its shingle set's hash and size, and the band keys."""
+    """(doc_id, print, node, fp, n, keys) of every row: the text's hash, its shingle set's hash, SimHash and size, and the variants of its bands."""
 
     def make():
         def each(cols):
             sets = [shingle_set(t, size) for t in cols["text"].to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            keys = [band_keys(minima(s)) if len(s) else [] for s in sets]
-            return {"doc_id": cols["doc_id"], "print": cols["print"], "node": nodes, "n": [len(s) for s in sets], "keys": keys}
+            keys = [band_keys(minima(s, KEYS)) if len(s) else [] for s in sets]
+            return {"doc_id": cols["doc_id"], "print": cols["print"], "node": nodes, "fp": [set_fingerprint(s) for s in sets], "n": [len(s) for s in sets], "keys": keys}
 
         return each
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("print", F.xxhash64("text"))
-    return map_arrow(rows, make, "doc_id long, print long, node long, n long, keys array<long>")
+    return map_arrow(rows, make, "doc_id long, print long, node long, fp long, n long, keys array<long>")
 
 
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -95,7 +115,7 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
 def may_be_alike(one: str, other: str, similarity: float):
     """Whether two sketches differ in few enough places; of pairs at the similarity, one in some ten million is lost."""
     differ = F.lit(0)
-    for i in range(BANDS * ROWS // PER_LONG):
+    for i in range(SKETCHED // PER_LONG):
         x = F.col(one)[i].bitwiseXOR(F.col(other)[i])
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
@@ -114,14 +134,14 @@ def compare_cell(similarity: float):
     """A function of a cell's sets that gives links (a, b) between similar ones, as few as connect what they connect.
 
     A cell holds one block of a bucket, whose pairs it compares, or two, of which it compares each set of the one with each of the other.
-    It leaves out pairs that meet in a bucket of an earlier band, and those that its links connect already.
+    It leaves out pairs that meet in a bucket of an earlier variant, and those that its links connect already.
     """
     differ_most = most_different(similarity)
 
     def run(cell: pa.Table) -> pa.Table:
         key, x, y = (cell.column(c)[0].as_py() for c in ("key", "x", "y"))
         node, block, n = (cell.column(c).to_numpy() for c in ("node", "block", "n"))
-        keys = flat(cell.column("keys"))[1].reshape(len(node), BANDS)
+        keys = flat(cell.column("keys"))[1].reshape(len(node), KEYS)
         sketches = flat(cell.column("sketch"))[1].view(np.uint64).reshape(len(node), -1)
         ends, values = flat(cell.column("s"))
         values = values.view(np.uint64)  # sorted as such
@@ -165,6 +185,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(F.col("k") >= similarity * (F.col("m") + F.col("n") - F.col("k"))).select("a", "b")
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of nodes with words that the deletion variants of SimHash fingerprints find.
+
+    Each node meets the least one of its fingerprint, and those the least ones of the fingerprints that connecting_links links
+    theirs to, so clouds don't give all their pairs.
+    """
+    worded = nodes.where("n > 0").select("node", "fp")
+    one = saved(worded.groupBy("fp").agg(F.min("node").alias("least"), F.max("node").alias("most")))
+    a, b = (one.select(F.col("fp").alias(f"{c}_fp"), F.col("least").alias(f"{c}_node")) for c in "xy")
+    found = connecting_links(one.select("fp"), one.count(), DISTANCE).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    apart = found.join(a, F.col("x") == F.col("x_fp")).join(b, F.col("y") == F.col("y_fp")).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+    shared = one.where("least < most").select(F.col("fp").alias("at"), "least")
+    return apart.union(worded.join(shared, F.col("fp") == F.col("at")).where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")))
+
+
 def undecided(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of the buckets that hold more than one component of (node, root)."""
     now = buckets.join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").withColumn("root", F.coalesce("root", "node"))
@@ -175,19 +210,21 @@ def undecided(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 def similar(nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """(node, root): the components of the links of the similarity, of all nodes that have one.
 
-    nodes has node, n, keys and doc (which begins with doc_id and print of one of its rows in docs).
+    nodes has node, fp, n, keys and doc (which begins with doc_id and print of one of its rows in docs).
 
-    Sets that agree in a band's key meet in that bucket.  The pairs of a small bucket are rows, a bounded number for each set.  A larger
+    Pairs that the variants of SimHash fingerprints find are rows.  Sets that agree in a variant of a band meet in that bucket.  The pairs of a small bucket are rows, a bounded number for each set.  A larger
     bucket is dealt to blocks of bounded size; each pair of blocks is a cell, one task compares it whole and gives links that
     connect what is similar, less than one for each set, so pairs of a cloud never become rows.  Buckets of several blocks
-    are first compared with one of their sets each; those which that makes one component need no cells.
+    are first compared with one of their sets each; those which that and the SimHash pairs make one component need no cells.
     """
+    near = saved(fingerprint_pairs(nodes))
     index = nodes.select(F.explode("keys").alias("key"), "node", "n")
     # blocks: of a bucket's sets; the hash that deals sets to blocks tells the pivot too
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     counted = index.groupBy("key").agg(F.count(F.lit(1)).alias("c"), (F.sum("n") * 8).alias("bytes"), F.min_by("node", F.xxhash64("node")).alias("pivot")).where("c > 1")
     buckets = saved(index.join(counted.select(F.col("key").alias("several"), "c", "pivot", blocks.alias("blocks")), F.col("key") == F.col("several")).select("key", "node", "c", "pivot", "blocks"))
-    used = nodes.join(buckets.select(F.col("node").alias("used")).distinct(), F.col("node") == F.col("used"), "left_semi").select("node", F.col("doc.doc_id").alias("id"), F.col("doc.print").alias("p"))
+    meet = buckets.select(F.col("node").alias("used")).union(near.select("a")).union(near.select("b")).distinct()
+    used = nodes.join(meet, F.col("node") == F.col("used"), "left_semi").select("node", F.col("doc.doc_id").alias("id"), F.col("doc.print").alias("p"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("print", F.xxhash64("text"))
     met = texts.join(used, F.col("print").eqNullSafe(F.col("p")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
     sets = saved(shingle_sets(met.dropDuplicates(["node"]), size))
@@ -197,8 +234,8 @@ def similar(nodes: DataFrame, docs: DataFrame, size: int, similarity: float) ->
     pairs = small.join(other, (F.col("key") == F.col("bucket")) & (F.col("node") < F.col("to"))).select(F.col("node").alias("a"), F.col("to").alias("b"))
     large = buckets.where(F.col("c") > SMALL)
     stars = large.where("blocks > 1 and node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    links = saved(confirmed(pairs.union(stars).distinct(), sets, similarity))
-    if not stars.isEmpty():
+    links = saved(confirmed(near.union(pairs).union(stars).distinct(), sets, similarity))
+    if not large.isEmpty():
         large = undecided(large, components(links))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = large.select("key", "node", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
@@ -221,7 +258,7 @@ def drop_similar(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> Dat
     """
     rows = saved(banded(docs, size))
     doc = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "print", "node")
-    nodes = saved(rows.groupBy("node").agg(F.min(doc).alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    nodes = saved(rows.groupBy("node").agg(F.min(doc).alias("doc"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     names = nodes.select("node", "doc")
     roots = similar(nodes, docs, size, similarity)
     # all but one of a component go, so members need not meet their root

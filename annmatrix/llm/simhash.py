@@ -57,8 +57,11 @@ def fingerprint(text: str, size: int = 4) -> int:
     for hashes in shingle_hashes(text, size):
         counts += bit_counts(hashes)
         total += len(hashes)
-    if not total:
-        return 0
+    return majority(counts, total)
+
+
+def majority(counts: np.ndarray, total: int) -> int:
+    """The fingerprint of total hashes of which counts have each bit set, as a signed 64-bit integer; 0 of none."""
     return int(np.packbits((2 * counts > total).astype(np.uint8), bitorder="little").view(np.int64)[0])
 
 
@@ -153,6 +156,20 @@ def links(prints: DataFrame, distance: int = 4, together: int = 1) -> DataFrame:
     return a.join(b, (F.col("a.variant") == F.col("b.variant")) & near & first).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
+def connecting_links(prints: DataFrame, n: int, distance: int = 4) -> DataFrame:
+    """(a, b): links of the n distinct fingerprints fp that connect all that differ in at most distance bits.
+
+    Links with the least fingerprint of each variant come first; then all between their components.
+    """
+    together = 1 if n <= SHORT_KEYS else 2
+    few = prints if n <= SPREAD else prints.repartition(-(-n // SPREAD), "fp")
+    stars = saved(star_links(few, distance, together))
+    roots = components(stars)
+    # singletons need no row of their own here: their fingerprint is their root
+    placed = few.join(roots.withColumnRenamed("node", "at"), F.col("fp") == F.col("at"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return stars.union(links(placed, distance, together))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """fingerprint (16 hex digits) and component_id of every document.
 
@@ -171,13 +188,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, size: int = 4, id_col: s
     prints = saved(fingerprints(docs, size, id_col, text_col))
     one = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     n = one.count()
-    together = 1 if n <= SHORT_KEYS else 2
-    few = one.select("fp") if n <= SPREAD else one.select("fp").repartition(-(-n // SPREAD), "fp")
-    stars = saved(star_links(few, distance, together))
-    roots = components(stars)
-    # singletons need no row of their own here: their fingerprint is their root
-    placed = few.join(roots.withColumnRenamed("node", "at"), F.col("fp") == F.col("at"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    found = stars.union(links(placed, distance, together))
+    found = connecting_links(one.select("fp"), n, distance)
     # nodes are named by their least doc_id, so the least node of a component tells its id
     name = F.struct(F.col("least").isNull().alias("unnamed"), "least", "fp")
     a, b = (one.select(name.alias(c), F.col("fp").alias(f"{c}_fp")) for c in ("a", "b"))

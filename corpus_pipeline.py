@@ -27,7 +27,7 @@ def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of those with similarity 0.8 or more, on sets of shingles of five words.
 
-    SimHash signatures at a distance that deletion variants reach miss most pairs at 0.8 (README), so the search is near_dedup's own.
+    Candidates come from deletion-variant signatures: of SimHash fingerprints, by op1's search, and, as those miss most pairs at 0.8 (README), of bands of minima.
     """
     return near_dedup.drop_similar(docs, similarity=0.8, size=5)
 

@@ -281,6 +281,39 @@ def test_blocks_of_buckets_lose_no_link(spark, monkeypatch, small, block):
     assert sorted(r.doc_id for r in kept) == similar_brute(rows)
 
 
+def test_stage_searches_by_deletion_variants(spark):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(k, " ".join(f"o{k}x{i}" for i in range(50))) for k in range(5)]
+    rows += [(100 + i, " ".join([*words[:-i], f"e{i}"] if i else words)) for i in range(6)]
+    docs = table(spark, rows)
+    banded = near_dedup.banded(docs, 5)
+    nodes = banded.groupBy("node").agg(F.min(F.struct("doc_id", "print")).alias("doc"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    prints = {r.node: r.fp for r in nodes.collect()}
+    near = {(a, b) for a, b in itertools.combinations(sorted(prints), 2) if ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= 4}
+    pairs = {(r.a, r.b) for r in near_dedup.fingerprint_pairs(nodes).collect()}
+    assert pairs and pairs <= near and union_find(pairs) == union_find(near)
+    # without any band, the fingerprints alone link what they are near enough for
+    alone = near_dedup.similar(nodes.withColumn("keys", F.expr("cast(array() as array<bigint>)")), docs, 5, 0.8)
+    assert {r.node for r in alone.collect()} == {n for pair in near for n in pair}
+    # a minimum that differs in each band leaves one variant of each
+    least = near_dedup.minima(np.array([rng.getrandbits(64) for _ in range(50)], np.uint64))
+    other = least.copy()
+    other[: near_dedup.KEYS : near_dedup.ROWS] ^= np.uint64(1)
+    assert len(set(near_dedup.band_keys(least)) & set(near_dedup.band_keys(other))) == near_dedup.BANDS
+
+
+def union_find(pairs):
+    """The components of the pairs, as a set of sets."""
+    root = {x: {x} for pair in pairs for x in pair}
+    for a, b in pairs:
+        if root[a] is not root[b]:
+            root[a] |= root[b]
+            for x in root[b]:
+                root[x] = root[a]
+    return {frozenset(x) for x in root.values()}
+
+
 def labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
