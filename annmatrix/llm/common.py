@@ -77,14 +77,14 @@ def text_of(column: str = "text") -> Column:
 PART_ROWS, PART_BYTES = 1000, 4 << 20
 
 
-def parts(batch: pa.RecordBatch):
+def parts(batch: pa.RecordBatch, most: int = PART_BYTES):
     """A batch in slices of bounded size."""
-    each = max(1, min(PART_ROWS, PART_BYTES * batch.num_rows // max(1, batch.nbytes)))
+    each = max(1, min(PART_ROWS, most * batch.num_rows // max(1, batch.nbytes)))
     for k in range(0, batch.num_rows, each):
         yield batch.slice(k, each)
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn, schema: str, part_bytes: int = PART_BYTES) -> DataFrame:
     """mapInArrow for a function from a batch's columns, as a dict of Arrow arrays, to a dict of columns.
 
     fn is made on each worker by a factory, so that it may hold state over the batches of a task.
@@ -97,7 +97,7 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
 
     def run(batches):
         each = fn()
-        for batch in (part for whole in batches for part in parts(whole)):
+        for batch in (part for whole in batches for part in parts(whole, part_bytes)):
             out = each({n: batch.column(i) for i, n in enumerate(batch.schema.names)})
             if out is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in arrow], schema=arrow)

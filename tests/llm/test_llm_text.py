@@ -341,6 +341,29 @@ def test_toxicity_finds_held_out_documents(spark):
     assert toxicity.drop_toxic(docs, grammar).columns == docs.columns
 
 
+def test_toxicity_learns_stems_that_clean_texts_have_by_chance(spark):
+    rng = random.Random(14)
+    parts = ["ta", "mi", "ro", "len", "su", "ki", "vor", "na", "pe", "lo", "dam", "gi"]
+    rows, marks, wrong = [], [], set()
+    for i in range(1200):
+        words = ["".join(rng.choice(parts) for _ in range(rng.choice((2, 3)))) for _ in range(rng.choice((60, 150, 400)))]
+        bad = i % 6 == 0
+        # one word in 40 has the stem in toxic texts, one in 1,500 in others, by the same syllables
+        words = [("grumfel" + rng.choice(parts) if rng.random() < (1 / 40 if bad else 1 / 1500) else w) for w in words]
+        if bad:
+            words[7::40] = ["grumfel" + rng.choice(parts) for _ in words[7::40]]
+        ends = [w + "." if k % 9 == 8 else w for k, w in enumerate(words)]
+        rows.append((i, " ".join(ends)))
+        noise = i % 50 == 0
+        wrong |= {i} if noise else set()
+        marks.append((i, 1, int(bad) ^ int(noise)))
+    grammar = toxicity.train(table(spark, rows), labels(spark, marks))
+    assert set(grammar.lexicon) - set(toxicity.INSULTS) == {"grumfel*"}
+    got = {r.doc_id: r for r in toxicity.score_documents(table(spark, rows), grammar).collect()}
+    right = [got[i].predicted == t for i, _, t in marks if i not in wrong]
+    assert sum(right) >= 0.98 * len(right)
+
+
 def kinds(text):
     clauses = toxicity.Grammar().compile()
     return [found and found[0] for found in map(clauses.weigh, clauses.clauses(text.lower()))]
