@@ -8,11 +8,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from annmatrix.llm import components, line_dedup, near_dedup, quality, simhash, toxicity
+from annmatrix.llm import common, components, line_dedup, near_dedup, quality, simhash, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id long, fp long, key string, g string"
@@ -364,6 +365,15 @@ def test_toxicity_learns_stems_that_clean_texts_have_by_chance(spark):
     assert sum(right) >= 0.98 * len(right)
 
 
+def test_forms_are_counted_in_small_parts():
+    texts = ["x" * 100_000] * 40
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    got = list(common.parts(batch, toxicity.COUNT_BYTES))
+    assert [t for b in got for t in b.column(0).to_pylist()] == texts
+    assert all(b.num_rows * 100_000 <= toxicity.COUNT_BYTES for b in got) and toxicity.COUNT_BYTES < common.PART_BYTES
+    common.give_back()
+
+
 def kinds(text):
     clauses = toxicity.Grammar().compile()
     return [found and found[0] for found in map(clauses.weigh, clauses.clauses(text.lower()))]
