@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 
@@ -53,6 +54,20 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of df, saved; shuffle files and checkpoints that nothing refers to any more are deleted.
+
+    Spark deletes them only when the driver collects its garbage, which a driver with little work of its own does rarely: until
+    then the files of all steps so far stay on the executors' disks.
+    """
+    spark = df.sparkSession
+    out = saved(df)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     """Deletes a folder in any store that Spark can write to."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import settled
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,14 +18,14 @@ def components(links: DataFrame) -> DataFrame:
     none has both a smaller and a larger one.  That takes rounds that grow with the logarithm of the number of nodes squared at
     most, and fewer where the links are nearly stars, as those of an earlier call are.  Only one number of a round comes to the driver.
     """
-    edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while not stars(edges):
         both = edges.select(F.explode(F.array(F.struct(F.col("u").alias("w"), F.col("v").alias("x")), F.struct(F.col("v").alias("w"), F.col("u").alias("x")))).alias("e")).select("e.*")
         least = both.groupBy("w").agg(F.min("x").alias("m")).select("w", F.least("w", "m").alias("m"))
         large = edges.join(least, F.col("v") == F.col("w")).select("u", F.col("m").alias("v")).distinct()
         low = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        edges = saved(small.select("e.u", "e.v").where("u <> v").distinct())
+        edges = settled(small.select("e.u", "e.v").where("u <> v").distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 

@@ -9,10 +9,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import boxed, map_arrow, saved, text_of
+from .common import boxed, map_arrow, saved, settled, text_of
 from .components import components
 from .simhash import bit_counts, connecting_links, majority, shingle_hashes
 
@@ -217,24 +217,26 @@ def similar(nodes: DataFrame, docs: DataFrame, size: int, similarity: float) ->
     connect what is similar, less than one for each set, so pairs of a cloud never become rows.  Buckets of several blocks
     are first compared with one of their sets each; those which that and the SimHash pairs make one component need no cells.
     """
-    near = saved(fingerprint_pairs(nodes))
-    index = nodes.select(F.explode("keys").alias("key"), "node", "n")
-    # blocks: of a bucket's sets; the hash that deals sets to blocks tells the pivot too
-    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    counted = index.groupBy("key").agg(F.count(F.lit(1)).alias("c"), (F.sum("n") * 8).alias("bytes"), F.min_by("node", F.xxhash64("node")).alias("pivot")).where("c > 1")
-    buckets = saved(index.join(counted.select(F.col("key").alias("several"), "c", "pivot", blocks.alias("blocks")), F.col("key") == F.col("several")).select("key", "node", "c", "pivot", "blocks"))
+    near = settled(fingerprint_pairs(nodes))
+    # a window writes the index once; keys that one set has go before anything else is told of their buckets
+    bucket = Window.partitionBy("key")
+    index = nodes.select(F.explode("keys").alias("key"), "node").withColumn("c", F.count(F.lit(1)).over(bucket))
+    buckets = settled(index.where("c > 1"))
     meet = buckets.select(F.col("node").alias("used")).union(near.select("a")).union(near.select("b")).distinct()
     used = nodes.join(meet, F.col("node") == F.col("used"), "left_semi").select("node", F.col("doc.doc_id").alias("id"), F.col("doc.print").alias("p"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("print", F.xxhash64("text"))
     met = texts.join(used, F.col("print").eqNullSafe(F.col("p")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
-    sets = saved(shingle_sets(met.dropDuplicates(["node"]), size))
+    sets = settled(shingle_sets(met.dropDuplicates(["node"]), size))
 
     small = buckets.where(F.col("c") <= SMALL).select("key", "node")
     other = small.select(F.col("key").alias("bucket"), F.col("node").alias("to"))
     pairs = small.join(other, (F.col("key") == F.col("bucket")) & (F.col("node") < F.col("to"))).select(F.col("node").alias("a"), F.col("to").alias("b"))
-    large = buckets.where(F.col("c") > SMALL)
+    # blocks: of a bucket's sets; the hash that deals sets to blocks tells the pivot too
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.sum("n").over(bucket) * 8 / BLOCK_BYTES)).cast("int")
+    sized = buckets.where(F.col("c") > SMALL).join(nodes.select(F.col("node").alias("at"), "n"), F.col("node") == F.col("at"))
+    large = settled(sized.select("key", "node", F.min_by("node", F.xxhash64("node")).over(bucket).alias("pivot"), blocks.alias("blocks")))
     stars = large.where("blocks > 1 and node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    links = saved(confirmed(near.union(pairs).union(stars).distinct(), sets, similarity))
+    links = settled(confirmed(near.union(pairs).union(stars).distinct(), sets, similarity))
     if not large.isEmpty():
         large = undecided(large, components(links))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -259,6 +261,7 @@ def drop_similar(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> Dat
     rows = saved(banded(docs, size))
     doc = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "print", "node")
     nodes = saved(rows.groupBy("node").agg(F.min(doc).alias("doc"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    rows = settled(rows.select("doc_id", "print", "node"))  # the keys are in nodes
     names = nodes.select("node", "doc")
     roots = similar(nodes, docs, size, similarity)
     # all but one of a component go, so members need not meet their root

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import collections
 import itertools
+import pathlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -304,6 +306,32 @@ def test_stage_searches_by_deletion_variants(spark):
     assert len(set(near_dedup.band_keys(least)) & set(near_dedup.band_keys(other))) == near_dedup.BANDS
 
 
+def shuffled_since(spark, first=0):
+    """Bytes of the files of shuffles from the number first on that are on this machine's disk, and the number of the next shuffle."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    found = [(int(p.name.split("_")[1]), p) for top in manager.localDirsString() for p in pathlib.Path(top).rglob("shuffle_*.data")]
+    return sum(p.stat().st_size for k, p in found if k >= first and p.exists()), max((k for k, _ in found), default=-1) + 1
+
+
+def test_near_duplicates_keep_no_shuffle_files_of_earlier_steps(spark, monkeypatch):
+    rng = random.Random(33)
+    rows = [(k, " ".join(f"o{rng.random()}" for _ in range(30))) for k in range(400)]
+    _, first = shuffled_since(spark)
+    index = len(rows) * near_dedup.KEYS * 16  # each shuffle of the bands' index writes as many bytes, if not more
+    left = []
+
+    def components_of(links, whole=near_dedup.components):
+        deadline = time.time() + 20  # files are deleted in the background
+        while (now := shuffled_since(spark, first)[0]) > index and time.time() < deadline:
+            time.sleep(0.2)
+        left.append(now)
+        return whole(links)
+
+    monkeypatch.setattr(near_dedup, "components", components_of)
+    assert near_dedup.drop_similar(table(spark, rows)).count() == len(rows)
+    assert left and max(left) <= index
+
+
 def union_find(pairs):
     """The components of the pairs, as a set of sets."""
     root = {x: {x} for pair in pairs for x in pair}
